@@ -132,5 +132,5 @@ def corpus_to_dtm(
     return Dtm(
         docs=corpus.select("doc_id"),
         vocabulary=vocabulary,
-        entries=join_on_term(counts, vocabulary, "left_semi").select("doc_id", "term", "tf"),
+        entries=join_on_term(counts, vocabulary, "left_semi"),
     )

@@ -80,8 +80,12 @@ def join_on_term(
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"unsupported join type {how}")
+    if how == "left_semi":
+        out = rows.columns
+    else:
+        out = rows.columns + [c for c in terms.columns if c not in rows.columns]
     if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return rows.join(F.broadcast(terms), "term", how)
+        return rows.join(F.broadcast(terms), "term", how).select(*out)
 
     total = terms.agg(F.sum("df")).first()[0] or 0
     per_slice = max(rows_per_slice, -(-total // MAX_HEAVY_KEYS))
@@ -93,4 +97,4 @@ def join_on_term(
     repeated = terms.withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))
     )
-    return placed.join(repeated, ["term", "slice"], how).drop("slice", "n_slices")
+    return placed.join(repeated, ["term", "slice"], how).select(*out)
