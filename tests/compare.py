@@ -56,12 +56,12 @@ def main() -> None:
     for name in wanted:
         start = time.time()
         df = contract.queries()[name](spark, sf_dir)
-        if name in sql:
-            verdict = difference(df, con, sql[name]) or "equal"
-        else:
-            verdict = f"{df.count()} rows, no SQL"
+        rows = df.cache().count()
+        seconds = time.time() - start
+        verdict = (difference(df, con, sql[name]) or "equal") if name in sql else "no SQL"
+        df.unpersist()
         bad += verdict != "equal" and name in sql
-        print(f"{name:28s} {time.time() - start:6.2f}s  {verdict}", flush=True)
+        print(f"{name:28s} {seconds:6.2f}s {rows:8d} rows  {verdict}", flush=True)
     print("different:", bad)
 
 

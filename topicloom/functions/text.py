@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -52,17 +52,9 @@ def stopwords(*languages: str) -> list[str]:
     return sorted(words)
 
 
-def tokens(
-    cleaned: Column, min_length: int = MIN_LENGTH, drop: Iterable[str] = ()
-) -> Column:
-    """Split cleaned text at spaces, keeping tokens of ``min_length`` that are not in ``drop``."""
-    words = list(drop)
-
-    def kept(token: Column) -> Column:
-        long_enough = F.length(token) >= min_length
-        return long_enough & ~token.isin(words) if words else long_enough
-
-    return F.filter(F.split(cleaned, " "), kept)
+def tokens(cleaned: Column, min_length: int = MIN_LENGTH) -> Column:
+    """Split cleaned text at spaces, keeping tokens of at least ``min_length`` characters."""
+    return F.filter(F.split(cleaned, " "), lambda token: F.length(token) >= min_length)
 
 
 def run_starts(ordered: Column) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as text_fn
 from topicloom.schema import ENTRIES, require_columns, require_schema
-from topicloom.stash import join_on_term, stash
+from topicloom.stash import BROADCAST_ROWS, broadcast_if_small, join_on_term, row_count, stash
 
 
 @dataclass(frozen=True)
@@ -33,9 +35,10 @@ class Dtm:
         require_columns(self.vocabulary, "term", "df", what="vocabulary")
         require_schema(self.entries, ENTRIES, what="entries")
 
+    @cached_property
     def n_docs(self) -> int:
         """Number of documents, the empty ones included."""
-        return self.docs.count()
+        return row_count(self.docs)
 
     def stashed(self) -> Dtm:
         """The same matrix with its entries written once to the shared folder."""
@@ -43,10 +46,8 @@ class Dtm:
 
     def with_terms(self, vocabulary: DataFrame, kind: str) -> Dtm:
         """Keep only the columns in ``vocabulary`` (with ``df``); rows all stay."""
-        kept = join_on_term(self.entries, vocabulary.select("term", "df"), "left_semi")
-        return replace(
-            self, vocabulary=vocabulary.select("term", "df"), entries=kept, kind=kind
-        )
+        kept = join_on_term(self.entries, vocabulary, "left_semi")
+        return replace(self, vocabulary=vocabulary, entries=kept, kind=kind)
 
     def without_empty_docs(self) -> tuple[Dtm, DataFrame]:
         """Rows that hold a word, and the ids of those that hold none."""
@@ -69,17 +70,12 @@ def count_terms(
 ) -> DataFrame:
     """``(doc_id, term, tf)`` for every term of every document, without a shuffle.
 
-    ``doc_id`` must be unique. ``stopwords`` is a word list, tested inside the row, or a
-    table with a ``word`` column, removed by an anti-join. ``explode_outer`` is on purpose:
+    ``doc_id`` must be unique. ``stopwords`` is a word list or a table with a ``word``
+    column, removed by an anti-join on the counted terms. ``explode_outer`` is on purpose:
     ``explode`` makes Catalyst add a ``size(..) > 0`` filter that tokenises every text twice.
     """
-    as_table = isinstance(stopwords, DataFrame)
-    cleaned = clean_corpus(corpus, steps)
-    ordered = cleaned.select(
-        "doc_id",
-        F.sort_array(
-            text_fn.tokens(F.col("clean"), min_length, () if as_table else stopwords)
-        ).alias("ordered"),
+    ordered = clean_corpus(corpus, steps).select(
+        "doc_id", F.sort_array(text_fn.tokens(F.col("clean"), min_length)).alias("ordered")
     )
     runs = ordered.withColumn("starts", text_fn.run_starts(F.col("ordered")))
     counted = (
@@ -90,10 +86,16 @@ def count_terms(
         .select("doc_id", "run.term", "run.tf")
         .where(F.col("term").isNotNull())
     )
-    if not as_table:
+    if isinstance(stopwords, DataFrame):
+        require_columns(stopwords, "word", what="stopwords")
+        words = broadcast_if_small(stopwords.select(F.lower("word").alias("term")).distinct())
+    elif stopwords:
+        rows = pa.table({"term": sorted({w.lower() for w in stopwords})})
+        words = corpus.sparkSession.createDataFrame(rows)
+        if rows.num_rows <= BROADCAST_ROWS:
+            words = F.broadcast(words)
+    else:
         return counted
-    require_columns(stopwords, "word", what="stopwords")
-    words = stopwords.select(F.lower("word").alias("term")).distinct()
     return counted.join(words, "term", "left_anti").select("doc_id", "term", "tf")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.operators.levels import level_index
-from topicloom.stash import broadcast_if_small, join_on_term, stash
+from topicloom.operators.levels import numbered
+from topicloom.stash import join_on_term, row_count, stash
 
 # spark.ml keeps a dense row of this length per class or topic on the driver and broadcasts it.
 MAX_FEATURES = 20_000_000
@@ -16,11 +16,8 @@ MAX_FEATURES = 20_000_000
 
 def term_index(vocabulary: DataFrame) -> tuple[DataFrame, int]:
     """``(term, df, ix)`` in alphabetical order, and the number of terms."""
-    positions = level_index(vocabulary, "term")
-    index = stash(
-        vocabulary.select("term", "df").join(broadcast_if_small(positions), "term"), "term-index"
-    )
-    size = index.count()
+    index = numbered(vocabulary.select("term", "df"), "term")
+    size = row_count(index)
     if size == 0:
         raise ValueError("the vocabulary is empty")
     if size > MAX_FEATURES:

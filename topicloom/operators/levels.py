@@ -9,14 +9,18 @@ from topicloom.stash import broadcast_if_small, stash
 
 
 def level_index(df: DataFrame, column: str) -> DataFrame:
-    """``(column, ix)``: position from 0 of each distinct non-null value in sorted order.
+    """``(column, ix)``: position from 0 of each distinct non-null value in sorted order."""
+    return numbered(df.where(F.col(column).isNotNull()).select(column).distinct(), column)
 
-    The values are range-partitioned and sorted in parallel. Only the row count of each
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``rows``, unique in ``column``, with their position ``ix`` in its order.
+
+    The rows are range-partitioned and sorted in parallel. Only the row count of each
     range, one number per task, is accumulated in a single place.
     """
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
     ranged = stash(
-        values.repartitionByRange(column).withColumn("range", F.spark_partition_id()), "levels"
+        rows.repartitionByRange(column).withColumn("range", F.spark_partition_id()), "ranges"
     )
     earlier = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = (
@@ -28,6 +32,6 @@ def level_index(df: DataFrame, column: str) -> DataFrame:
     return stash(
         ranged.withColumn("place", place)
         .join(broadcast_if_small(offsets), "range")
-        .select(column, (F.col("offset") + F.col("place") - 1).cast("int").alias("ix")),
-        "level-index",
+        .select(*rows.columns, (F.col("offset") + F.col("place") - 1).cast("int").alias("ix")),
+        "numbered",
     )

@@ -21,7 +21,7 @@ def tfidf_weights(dtm: Dtm, normalize: bool = True) -> DataFrame:
     vocabulary was counted on. A document whose weights are all 0 keeps weight 0.
     """
     terms = stash(
-        document_frequency(dtm.entries).withColumn("idf", idf(dtm.n_docs(), F.col("df"))),
+        document_frequency(dtm.entries).withColumn("idf", idf(dtm.n_docs, F.col("df"))),
         "idf",
     )
     raw = join_on_term(dtm.entries, terms).select(
@@ -46,6 +46,6 @@ def tfidf_diagnostics(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
     """
     df = document_frequency(dtm.entries)
     unreferenced = dtm.vocabulary.select("term").join(df.select("term"), "term", "left_anti")
-    informative = stash(df.where(F.col("df") < dtm.n_docs()), "informative")
+    informative = stash(df.where(F.col("df") < dtm.n_docs), "informative")
     weighted = join_on_term(dtm.entries, informative, "left_semi").select("doc_id").distinct()
     return unreferenced, dtm.docs.join(weighted, "doc_id", "left_anti")

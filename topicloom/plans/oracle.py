@@ -239,4 +239,27 @@ def oracle() -> dict[str, str]:
             rk AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY phi DESC, term)::INTEGER
                 AS rank, term, phi FROM phi)
             SELECT topic, rank, term, round(phi, 8) AS phi FROM rk WHERE rank <= 10""",
+        "lambda_max": plain
+        + WEIGHT_CTES
+        + """, sq AS (SELECT doc_id, sum(w * w) AS s FROM raw GROUP BY doc_id),
+            x AS (SELECT raw.doc_id, term, CASE WHEN s > 0 THEN w / sqrt(s) ELSE 0 END AS x
+                  FROM raw JOIN sq ON raw.doc_id = sq.doc_id),
+            tot AS (SELECT x.term, sum(x) AS s,
+                sqrt((sum(x * x) - sum(x) * sum(x) / any_value(n.n)) / (any_value(n.n) - 1)) AS sd
+                FROM x, n GROUP BY x.term),
+            part AS (SELECT x.term, d.lang, sum(x) AS s FROM x JOIN documents d
+                ON x.doc_id = d.doc_id GROUP BY x.term, d.lang),
+            cls AS (SELECT lang, count(*) / any_value(n.n) AS share FROM documents, n GROUP BY lang),
+            g AS (SELECT tot.term, cls.lang,
+                abs(coalesce(part.s, 0) - share * tot.s) / (n.n * tot.sd) AS g
+                FROM tot CROSS JOIN cls CROSS JOIN n
+                LEFT JOIN part ON part.term = tot.term AND part.lang = cls.lang
+                WHERE tot.sd > 1e-9)
+            SELECT round(g, 8) AS lambda_max, term, lang AS label FROM g
+            ORDER BY g DESC, term, label LIMIT 1""",
+        "exported_corpus": "SELECT doc_id, text FROM documents",
+        "exported_terms": base
+        + SCORE_CTES
+        + """ SELECT CASE WHEN score BETWEEN lo AND hi THEN 'kept' ELSE 'discarded' END AS list, term
+            FROM score, band""",
     }

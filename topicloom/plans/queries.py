@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as text_fn
 from topicloom.operators import dtm as dtm_ops
-from topicloom.operators import evaluate, split, topics
+from topicloom.operators import evaluate, lasso, split, topics
+from topicloom.operators.classify import classify_compositions
+from topicloom.operators.gibbs import GibbsOptions
+from topicloom.operators.lasso import PathOptions
+from topicloom.operators.lda import LdaOptions, fit_lda, prepare
 from topicloom.operators.levels import level_index
 from topicloom.operators.quantiles import exact_quantiles
 from topicloom.operators.reduce_tfidf import reduce_by_tfidf, term_scores
 from topicloom.operators.weights import tfidf_diagnostics, tfidf_weights
+from topicloom.plans.reduce import reduce_dtm
+from topicloom.plans.sweep import sweep_topics
 from topicloom.sources.corpus import METADATA, decisions_to_corpus
 from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, scan_decisions
+from topicloom.sources.exports import export_corpus
 from topicloom.stash import new_path, stash
 
 STOPWORD_LANGUAGES = ("english", "german", "french", "spanish", "italian")
@@ -345,6 +352,96 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.top_terms(phi).withColumn("phi", rounded("phi"))
 
 
+# --- models -------------------------------------------------------------------------------
+
+# Short paths keep a query to tens of fits; the library's defaults are longer.
+PATH = PathOptions(n_lambda=4, folds=3, max_iter=40)
+SHORT_LDA = LdaOptions(max_iter=10, gibbs=GibbsOptions(burnin=5, iterations=10, thin=5))
+
+
+def lambda_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = tfidf_weights(base(spark, sf_dir, stop=False))
+    best = lasso.lambda_max(weights, lang_labels(spark, sf_dir))
+    return best.withColumn("lambda_max", rounded("lambda_max"))
+
+
+def lasso_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms per class from the path's best train error, after a cut by the tf-idf band."""
+    reduction = reduce_dtm(
+        reduce_by_tfidf(base(spark, sf_dir)).reduced.stashed(),
+        "lognet",
+        classes=lang_labels(spark, sf_dir),
+        seed=123,
+        options=PATH,
+    )
+    return reduction.result.terms_by_class
+
+
+def lasso_cv_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reduction = reduce_dtm(
+        base(spark, sf_dir).stashed(),
+        "lognet_cv",
+        classes=lang_labels(spark, sf_dir),
+        rule="lambda_1se",
+        seed=123,
+        options=PATH,
+    )
+    return reduction.result.terms_by_class
+
+
+def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = prepare(base(spark, sf_dir))
+    return topics.top_terms(fit_lda(data, 4, "VEM", options=SHORT_LDA).phi)
+
+
+def lda_fixed_alpha_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = prepare(base(spark, sf_dir))
+    return topics.top_terms(fit_lda(data, 4, "VEM_fixed", options=SHORT_LDA).phi)
+
+
+def gibbs_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = prepare(base(spark, sf_dir))
+    return topics.top_topic(fit_lda(data, 4, "Gibbs", options=SHORT_LDA).posteriors)
+
+
+def lda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sweep_topics(
+        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=PATH, lda=SHORT_LDA
+    )
+    return found.runs
+
+
+def composition_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    found = classify_compositions(
+        embedding_parts(spark, sf_dir), split.stratified_split(labels, 123), options=PATH
+    )
+    rows = [(name, error) for name, error in found.errors.items()]
+    return spark.createDataFrame(rows, "name string, error double")
+
+
+# --- sinks, read back ---------------------------------------------------------------------
+
+
+def exported_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "corpus")
+    if export_corpus(corpus(spark, sf_dir), path) == "parquet":
+        return spark.read.parquet(path)
+    texts = spark.read.schema("value string, doc_id long").text(path, wholetext=True)
+    return texts.select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+def exported_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary and discarded terms as the export of a tf-idf reduction wrote them."""
+    path = new_path(spark, "export")
+    reduce_dtm(base(spark, sf_dir), "tfidf", out_dir=path)
+    kept = spark.read.text(f"{path}/tfidf/vocabulary").select(F.lit("kept").alias("list"), "value")
+    gone = spark.read.text(f"{path}/tfidf/discarded_terms")
+    return kept.unionByName(gone.select(F.lit("discarded").alias("list"), "value")).withColumnRenamed(
+        "value", "term"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "xml_decisions": xml_decisions,
     "xml_file_decisions": xml_file_decisions,
@@ -385,4 +482,14 @@ QUERIES: dict[str, Query] = {
     "ilr": ilr,
     "top_topic": top_topic,
     "top_terms": top_terms,
+    "lambda_max": lambda_max,
+    "lasso_terms": lasso_terms,
+    "lasso_cv_terms": lasso_cv_terms,
+    "lda_topics": lda_topics,
+    "lda_fixed_alpha_topics": lda_fixed_alpha_topics,
+    "gibbs_topics": gibbs_topics,
+    "lda_sweep": lda_sweep,
+    "composition_errors": composition_errors,
+    "exported_corpus": exported_corpus,
+    "exported_terms": exported_terms,
 }

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A lookup table is broadcast up to this many rows: two narrow columns, tens of MB at most.
 BROADCAST_ROWS = 1_000_000
 
+# Row counts of stashes, observed while they were written.
+_written_rows: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
+
 # Rows of one join key that a single task may receive before the key is cut into slices.
 ROWS_PER_SLICE = 1_000_000
 
@@ -46,21 +50,36 @@ def stash(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataF
     """Write ``df`` as parquet in the shared folder and return the table read back.
 
     ``schema`` reads the columns back under another type of the same physical layout
-    (a struct written, a ``VectorUDT`` read).
+    (a struct written, a ``VectorUDT`` read). The rows are counted by the writing job.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    table = spark.read.schema(schema or df.schema).parquet(path)
+    _written_rows[table] = written.get["rows"]
+    return table
+
+
+def row_count(df: DataFrame) -> int:
+    """Number of rows, without a job for a stash."""
+    known = _written_rows.get(df)
+    return df.count() if known is None else known
+
+
+def at_most(df: DataFrame, limit: int) -> bool:
+    """Whether ``df`` has no more than ``limit`` rows; counting stops just beyond it."""
+    known = _written_rows.get(df)
+    return (df.limit(limit + 1).count() if known is None else known) <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` is counted and holds at most ``limit`` rows.
+    """Hint a broadcast only when ``df`` is known to hold at most ``limit`` rows.
 
-    The count stops after ``limit + 1`` rows. A larger table is returned without a hint:
-    Catalyst then shuffles, and adaptive execution splits skewed partitions.
+    A larger table is returned without a hint: Catalyst then shuffles, and adaptive
+    execution splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if at_most(df, limit) else df
 
 
 def join_on_term(
@@ -84,7 +103,7 @@ def join_on_term(
         out = rows.columns
     else:
         out = rows.columns + [c for c in terms.columns if c not in rows.columns]
-    if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if at_most(terms, broadcast_rows):
         return rows.join(F.broadcast(terms), "term", how).select(*out)
 
     total = terms.agg(F.sum("df")).first()[0] or 0
