@@ -11,15 +11,15 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A lookup table is broadcast up to this many rows: two narrow columns, tens of MB at most.
 BROADCAST_ROWS = 1_000_000
 
-# Row counts of stashes, observed while they were written.
-_written_rows: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
+# Row counts of stashes: None until somebody asks. A stash never changes once written.
+_stashed_rows: weakref.WeakKeyDictionary[DataFrame, int | None] = weakref.WeakKeyDictionary()
 
 # Rows of one join key that a single task may receive before the key is cut into slices.
 ROWS_PER_SLICE = 1_000_000
@@ -50,27 +50,30 @@ def stash(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataF
     """Write ``df`` as parquet in the shared folder and return the table read back.
 
     ``schema`` reads the columns back under another type of the same physical layout
-    (a struct written, a ``VectorUDT`` read). The rows are counted by the writing job.
+    (a struct written, a ``VectorUDT`` read).
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.write.parquet(path)
     table = spark.read.schema(schema or df.schema).parquet(path)
-    _written_rows[table] = written.get["rows"]
+    _stashed_rows[table] = None
     return table
 
 
 def row_count(df: DataFrame) -> int:
-    """Number of rows, without a job for a stash."""
-    known = _written_rows.get(df)
-    return df.count() if known is None else known
+    """Number of rows; counted once for a stash, from its file footers."""
+    if df not in _stashed_rows:
+        return df.count()
+    if _stashed_rows[df] is None:
+        _stashed_rows[df] = df.count()
+    return _stashed_rows[df]
 
 
 def at_most(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has no more than ``limit`` rows; counting stops just beyond it."""
-    known = _written_rows.get(df)
-    return (df.limit(limit + 1).count() if known is None else known) <= limit
+    if df in _stashed_rows:
+        return row_count(df) <= limit
+    return df.limit(limit + 1).count() <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
