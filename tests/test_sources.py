@@ -120,3 +120,24 @@ def test_reduction_export(spark, tmp_path):
         reduce_dtm(made, "lognet")
     with pytest.raises(ValueError, match="method must be"):
         reduce_dtm(made, "other")
+
+
+def test_streamed_decisions_equal_the_batch(spark, xml_path, tmp_path):
+    from pathlib import Path
+
+    from topicloom.streaming.decisions import stream_decisions
+
+    folder = str(Path(xml_path).parent)
+    query = (
+        stream_decisions(spark, folder)
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    assert query.awaitTermination(120)
+    streamed = spark.read.parquet(str(tmp_path / "out"))
+    batch = scan_decisions(spark, folder)
+    key = ["doc_id"]
+    assert streamed.orderBy(key).collect() == batch.orderBy(key).collect()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,8 +110,3 @@ def elastic_net_grid(
     model = lr.fit(train, {lr.regParam: -negative})
     err_test, confusion = lasso.evaluated(model, test, levels)
     return error, err_test, confusion
-
-
-def expected_grid_size(n_lambda: int, folds: int, repeats: int, alphas=ALPHAS) -> int:
-    """Number of fits ``elastic_net_grid`` runs, to judge its cost beforehand."""
-    return int(np.prod([n_lambda, folds, repeats, len(alphas)])) + 1

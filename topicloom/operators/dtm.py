@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as text_fn
 from topicloom.schema import ENTRIES, require_columns, require_schema
-from topicloom.stash import BROADCAST_ROWS, broadcast_if_small, join_on_term, row_count, stash
+from topicloom.stash import BROADCAST_ROWS, broadcast_if_small, join_on_term, row_count, spread, stash
 
 
 @dataclass(frozen=True)
@@ -23,12 +23,14 @@ class Dtm:
     vocabulary  one row per column of the matrix, ``(term, df)``
     entries     one row per nonzero, ``(doc_id, term, tf)``
     kind        how the vocabulary was chosen: ``base``, ``tfidf``, ``lognet``, ...
+    known_docs  number of rows in ``docs`` when it has been counted
     """
 
     docs: DataFrame
     vocabulary: DataFrame
     entries: DataFrame
     kind: str = "base"
+    known_docs: int | None = None
 
     def __post_init__(self) -> None:
         require_columns(self.docs, "doc_id", what="docs")
@@ -38,7 +40,7 @@ class Dtm:
     @cached_property
     def n_docs(self) -> int:
         """Number of documents, the empty ones included."""
-        return row_count(self.docs)
+        return row_count(self.docs) if self.known_docs is None else self.known_docs
 
     def stashed(self) -> Dtm:
         """The same matrix with its entries written once to the shared folder."""
@@ -53,7 +55,7 @@ class Dtm:
         """Rows that hold a word, and the ids of those that hold none."""
         used = self.entries.select("doc_id").distinct()
         kept = self.docs.join(used, "doc_id", "left_semi")
-        return replace(self, docs=kept), self.docs.join(used, "doc_id", "left_anti")
+        return replace(self, docs=kept, known_docs=None), self.docs.join(used, "doc_id", "left_anti")
 
 
 def clean_corpus(corpus: DataFrame, steps: Sequence[text_fn.Step] = text_fn.DEFAULT_STEPS) -> DataFrame:
@@ -123,16 +125,21 @@ def corpus_to_dtm(
 ) -> Dtm:
     """Base document-term matrix: terms of ``min_length`` found in ``min_docs`` documents.
 
-    Texts are tokenised once: the counts are written to the shared folder, the vocabulary
+    Texts are tokenised once, by all cores: the counts are written to the shared folder, the vocabulary
     is counted from there (partial counts per task, so the shuffle carries vocabulary, not
     tokens), and the final entries are a semi-join of the written counts.
     """
-    counts = stash(count_terms(corpus, stopwords, steps, min_length), "counts")
+    require_columns(corpus, "doc_id", "text", what="corpus")
+    docs = corpus.select("doc_id")
+    n_docs = docs.count()
+    texts = spread(corpus.select("doc_id", "text"), n_docs)
+    counts = stash(count_terms(texts, stopwords, steps, min_length), "counts")
     vocabulary = stash(
         document_frequency(counts).where(F.col("df") >= min_docs), "vocabulary"
     )
     return Dtm(
-        docs=corpus.select("doc_id"),
+        docs=docs,
         vocabulary=vocabulary,
         entries=join_on_term(counts, vocabulary, "left_semi"),
+        known_docs=n_docs,
     )

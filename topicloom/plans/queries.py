@@ -23,7 +23,7 @@ from topicloom.plans.sweep import sweep_topics
 from topicloom.sources.corpus import METADATA, decisions_to_corpus
 from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, scan_decisions
 from topicloom.sources.exports import export_corpus
-from topicloom.stash import new_path, stash
+from topicloom.stash import broadcast_if_small, new_path, stash
 
 STOPWORD_LANGUAGES = ("english", "german", "french", "spanish", "italian")
 PLACES = 8
@@ -346,7 +346,7 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     by_lang = stash(by_lang, "language-terms")
     totals = by_lang.groupBy("topic").agg(F.sum("tf").alias("total"))
-    phi = by_lang.join(totals, "topic").select(
+    phi = by_lang.join(broadcast_if_small(totals), "topic").select(
         "topic", "term", (F.col("tf") / F.col("total")).alias("phi")
     )
     return topics.top_terms(phi).withColumn("phi", rounded("phi"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from topicloom.operators.levels import level_index
 from topicloom.schema import DECISIONS
-from topicloom.stash import broadcast_if_small
+from topicloom.stash import broadcast_if_small, stash
 
 # Names in the XML documents.
 ROW_TAG = "snintegrale"
@@ -116,9 +117,9 @@ def _records_by_file(spark: SparkSession, path: str) -> DataFrame:
     return records.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def _records_by_split(spark: SparkSession, path: str) -> DataFrame:
+def split_records(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """Records of UTF-8 files, cut at the closing tag so that a file spreads over many tasks."""
-    chunks = spark.read.option("lineSep", f"</{ROW_TAG}>").text(path)
+    chunks = reader.option("lineSep", f"</{ROW_TAG}>").text(path)
     elements = F.regexp_extract_all(
         F.concat("value", F.lit(f"</{ROW_TAG}>")), F.lit(RECORD_PATTERN), F.lit(0)
     )
@@ -138,12 +139,16 @@ def scan_decisions(
     bottleneck; the files must be UTF-8. Without it the XML source reads each file as a
     whole in one task, in whatever encoding the file declares.
     """
-    records = (_records_by_split if split_files else _records_by_file)(spark, path)
+    records = split_records(spark.read, path) if split_files else _records_by_file(spark, path)
     return flatten_decisions(final_decisions(records), F.col("file"), latin1)
 
 
 def read_decisions(
     spark: SparkSession, path: str, latin1: bool = False, split_files: bool = True
 ) -> DataFrame:
-    """The full decision table of the XML files under ``path``."""
-    return with_subject_index(scan_decisions(spark, path, latin1, split_files))
+    """The full decision table of the XML files under ``path``.
+
+    The files are parsed once, into the shared folder; numbering the subjects reads one
+    column of that table.
+    """
+    return with_subject_index(stash(scan_decisions(spark, path, latin1, split_files), "decisions"))

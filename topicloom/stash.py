@@ -24,6 +24,9 @@ _stashed_rows: weakref.WeakKeyDictionary[DataFrame, int | None] = weakref.WeakKe
 # Rows of one join key that a single task may receive before the key is cut into slices.
 ROWS_PER_SLICE = 1_000_000
 
+# Below this many documents per core, a table is spread before work that is heavy on CPU.
+SPREAD_ROWS = 10_000
+
 # No more than this many keys can each hold over 1/MAX_HEAVY_KEYS of all rows.
 MAX_HEAVY_KEYS = 100_000
 
@@ -85,6 +88,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, limit) else df
 
 
+def spread(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """Give every core a share of a table too small to have a split for each.
+
+    Moves data only when there are at most ``SPREAD_ROWS`` rows per core; a larger table
+    comes in enough splits of its own and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if rows <= SPREAD_ROWS * cores else df
+
+
 def join_on_term(
     rows: DataFrame,
     terms: DataFrame,
