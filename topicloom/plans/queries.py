@@ -405,8 +405,9 @@ def gibbs_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = PathOptions(n_lambda=3, folds=2, max_iter=25)
     found = sweep_topics(
-        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=PATH, lda=SHORT_LDA
+        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=short, lda=SHORT_LDA
     )
     return found.runs
 
