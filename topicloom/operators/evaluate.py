@@ -118,14 +118,20 @@ def cv_summary(errors: DataFrame) -> DataFrame:
     """``(lambda, cvm, cvsd)`` from ``(lambda, fold, error)``, with ``n`` as fold weight if given.
 
     cvm is the weighted mean over folds; cvsd the weighted deviation over the root of
-    ``folds - 1``. With equal weights that is the sample standard error of the mean.
+    ``folds - 1``. With equal weights that is the sample standard error of the mean. Rows are
+    first added up to one cell per lambda and fold, so a group holds as many cells as folds.
     """
     require_columns(errors, "lambda", "fold", "error", what="fold errors")
     weight = F.col("n").cast("double") if "n" in errors.columns else F.lit(1.0)
-    e = F.col("error")
-    sums = errors.select("lambda", "error", weight.alias("w")).groupBy("lambda").agg(
-        (F.sum(F.col("w") * e) / F.sum("w")).alias("cvm"),
-        F.sum("w").alias("total"),
+    w, e = F.col("w"), F.col("error")
+    cells = (
+        errors.select("lambda", "fold", "error", weight.alias("w"))
+        .groupBy("lambda", "fold")
+        .agg((F.sum(w * e) / F.sum(w)).alias("error"), F.sum(w).alias("w"))
+    )
+    sums = cells.groupBy("lambda").agg(
+        (F.sum(w * e) / F.sum(w)).alias("cvm"),
+        F.sum(w).alias("total"),
         F.count("*").alias("folds"),
         F.collect_list(F.struct("error", "w")).alias("cells"),
     )
@@ -147,7 +153,8 @@ def lambda_rules(summary: DataFrame) -> DataFrame:
     """One row ``(lambda_min, lambda_1se, cvm_min, cvsd_min)`` from ``cv_summary``.
 
     lambda_min has the lowest error, the larger one on ties. lambda_1se is the largest
-    lambda whose error is within one standard error of it.
+    lambda whose error is within one standard error of it. The path, one entry per lambda,
+    is looked through in the same row, so both rules see the same numbers.
     """
     require_columns(summary, "lambda", "cvm", "cvsd", what="cv summary")
     # min over structs orders by error, then by the larger lambda.
