@@ -13,6 +13,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,34 +56,48 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _heads(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at which a new key begins, and rows at which a new key or id begins."""
+    sha = np.frombuffer(b"".join(table["sha"].to_pylist()), np.uint8).reshape(-1, 32)
+    new_key = np.ones(table.num_rows, bool)
+    new_key[1:] = (sha[1:] != sha[:-1]).any(axis=1)
+    for name in ("run", "n_bytes", "crc"):
+        values = table[name].to_numpy()
+        new_key[1:] |= values[1:] != values[:-1]
+    ids = table["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    new_id = new_key.copy()
+    new_id[1:] |= ids[1:] != ids[:-1]
+    return np.flatnonzero(new_key), np.flatnonzero(new_id)
+
+
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal neighbours of a sorted stream become one row; the last one waits for the next batch.
 
-    Rows count as equal only when digest, length and checksum all agree. ``doc_id`` is the
-    largest, ``copies`` the number of rows that carry it, ``n`` the number of all rows.
+    Rows count as equal only when digest, length and checksum all agree. Ids ascend within a
+    key, so its last row has the largest; ``copies`` counts the rows that carry that id, ``n``
+    all rows.
     """
-    group, waiting = ["run", *KEYS], None
+    waiting = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if waiting is not None:
             table = pa.concat_tables([waiting, table])
         if not table.num_rows:
             continue
-        schema = table.schema
-        by_id = table.group_by([*group, "doc_id"], use_threads=False).aggregate(
-            [("copies", "sum"), ("n", "sum")]
-        )
-        # Groups come out in order of appearance, so the last row of a key has its largest id.
-        by_id = by_id.append_column("at", pa.array(range(by_id.num_rows), pa.int64()))
-        merged = by_id.group_by(group, use_threads=False).aggregate([("at", "max"), ("n_sum", "sum")])
-        best = by_id.take(merged["at_max"])
-        columns = {name: merged[name] for name in group}
-        columns |= {"doc_id": best["doc_id"], "copies": best["copies_sum"], "n": merged["n_sum_sum"]}
-        merged = pa.table({name: columns[name] for name in schema.names}).cast(schema)
+        keys, ids = _heads(table)
+        last = np.append(keys[1:], table.num_rows) - 1
+        copies = np.add.reduceat(table["copies"].to_numpy(), ids)
+        merged = table.take(last)
+        new = {
+            "copies": copies[np.searchsorted(ids, last, "right") - 1],
+            "n": np.add.reduceat(table["n"].to_numpy(), keys),
+        }
+        for name, values in new.items():
+            merged = merged.set_column(merged.schema.get_field_index(name), merged.schema.field(name), [values])
         waiting = merged.slice(merged.num_rows - 1)
-        yield from merged.slice(0, merged.num_rows - 1).to_batches()
+        yield from merged.slice(0, merged.num_rows - 1).combine_chunks().to_batches()
     if waiting is not None:
-        yield from waiting.to_batches()
+        yield from waiting.combine_chunks().to_batches()
 
 
 def merge_runs(runs: DataFrame, n_runs: int, fan: int = FAN) -> DataFrame:
