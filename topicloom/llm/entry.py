@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, exact_dedup, sharding, token_counts, url_filters
+from topicloom.llm import chat, exact_dedup, near_dedup, sharding, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Settings(width=4))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -51,6 +55,7 @@ QUERIES = {
         op5_url_filters,
         op6_sharding,
         op8_exact_dedup,
+        op9_minhash_near_dedup,
     )
 }
 
