@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, exact_dedup, near_dedup, sharding, token_counts, url_filters
+from topicloom.llm import chat, exact_dedup, language_id, near_dedup, sharding, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Settings(width=4))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = language_id.identify_languages(documents)
+    return judged.select("record.doc_id", "record.lang", "predicted", "posterior", "accepted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -56,6 +62,7 @@ QUERIES = {
         op6_sharding,
         op8_exact_dedup,
         op9_minhash_near_dedup,
+        op10_language_id,
     )
 }
 
