@@ -24,7 +24,8 @@ _BYTES = np.arange(256)
 # A-Z to a-z, and the six characters that separate words.
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 GAP = np.isin(_BYTES, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Everything but ASCII letters, digits and the bytes of other characters: for bare words.
+NOT_LETTER = ~(((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57)) | (_BYTES >= 128))
 
 _rng = np.random.default_rng(20_240_601)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +84,10 @@ def _hash_runs(data: np.ndarray, inside: np.ndarray, lengths: np.ndarray) -> np.
     return mix(sums ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, size: int = 4 * SLICE_BYTES) -> Words:
-    """Maximal runs of bytes outside ``GAP``, lower-cased for A-Z only, within each text.
+def split_words(
+    data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = GAP, size: int = 4 * SLICE_BYTES
+) -> Words:
+    """Maximal runs of bytes outside ``gap``, lower-cased for A-Z only, within each text.
 
     Long slices are worked off in pieces cut at a separator, so memory beyond the result is
     bounded unless a single word is longer than ``size``.
@@ -93,11 +96,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray, size: int = 4 * SLICE_BYT
     parts, lo = [], 0
     while lo < data.size:
         hi = min(data.size, lo + size)
-        while hi < data.size and not GAP[data[hi - 1]]:
-            more = np.flatnonzero(GAP[data[hi : hi + size]])
+        while hi < data.size and not gap[LOWER[data[hi - 1]]]:
+            more = np.flatnonzero(gap[LOWER[data[hi : hi + size]]])
             hi = hi + int(more[0]) + 1 if more.size else min(data.size, hi + size)
         low = LOWER[data[lo:hi]]
-        inside = ~GAP[low]
+        inside = ~gap[low]
         first = np.zeros(hi - lo + 1, bool)
         first[0] = first[-1] = True
         first[edges[(edges >= lo) & (edges <= hi)] - lo] = True

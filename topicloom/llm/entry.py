@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, exact_dedup, language_id, near_dedup, sharding, token_counts, url_filters
+from topicloom.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, sharding, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.find_contamination(documents, table(spark, sf_dir, "benchmark"))
+    kept = ~F.col("contaminated")
+    return judged.select("record.doc_id", "contaminated", kept.alias("kept"), "item_id", "share", "cosine")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +57,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = language_id.identify_languages(documents)
-    return judged.select("record.doc_id", "record.lang", "predicted", "posterior", "accepted")
+    return judged.select(
+        "record.doc_id", "record.lang", "predicted", "posterior", "accepted", F.col("accepted").alias("kept")
+    )
 
 
 QUERIES = {
@@ -60,6 +69,7 @@ QUERIES = {
         op4_token_counts,
         op5_url_filters,
         op6_sharding,
+        op7_decontamination,
         op8_exact_dedup,
         op9_minhash_near_dedup,
         op10_language_id,
