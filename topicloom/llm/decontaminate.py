@@ -7,9 +7,8 @@
    result gives the leading right singular vectors (Nystroem's formula).
 3. Windows slide over every document in sizes that fit the items; latent cosine against the items
    of that size finds candidates.
-4. A candidate is confirmed by the longest common subsequence of words with the item: a
-   copy shares almost all of it in order, a paraphrase less, and then it must also contain
-   the item's answer words, its rarest ones.
+4. A candidate is confirmed by the longest common subsequence of words with the item, which a
+   paraphrase keeps for the most part, and by the item's answer words, its rarest ones.
 
 Scoring is row by row against a model whose size the block of items bounds, so documents
 are never shuffled. Larger benchmarks are worked off in blocks.
@@ -30,22 +29,24 @@ from pyspark.sql import types as T
 from topicloom.llm.common import NOT_LETTER, Words, split_words, text_slices
 
 
+TERM_BLOCK = 64  # terms whose partial products travel as one row
+PARTS = "block int, part array<double>"
+
+
 @dataclass(frozen=True)
 class Settings:
     """``passage`` words make a passage; ``rank`` latent dimensions; ``cosine`` finds candidates.
 
-    ``copy`` is the share of an item's words, in order, that makes a copy; ``paraphrase`` the
-    share that is enough with ``answers`` of the item's ``answer_words`` rarest words. Items of
-    fewer than ``min_words`` words are no evidence and are skipped. ``block`` items are one
-    pass over the documents.
+    A leak has ``share`` of an item's words in order and ``answers`` of its ``answer_words``
+    rarest words. Items of fewer than ``min_words`` words are no evidence and are skipped.
+    ``block`` items are one pass over the documents.
     """
 
     passage: int = 64
     rank: int = 64
     extra: int = 8
-    cosine: float = 0.45
-    copy: float = 0.8
-    paraphrase: float = 0.6
+    cosine: float = 0.5
+    share: float = 0.6
     answer_words: int = 6
     answers: float = 0.5
     min_words: int = 8
@@ -142,12 +143,34 @@ def _gram_times(row, term, weight, omega: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the parts of each key, as they stream by."""
+    sums: dict[tuple, np.ndarray] = {}
+    names: list[str] = []
+    for batch in batches:
+        names = batch.schema.names
+        keys = zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns) if k != 1))
+        for key, part in zip(keys, batch.column(1)):
+            values = part.values.to_numpy()
+            sums[key] = sums[key] + values if key in sums else values.copy()
+    if sums:
+        columns = list(zip(*sums))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(columns[0], pa.int32()),
+                pa.array(list(sums.values()), pa.list_(pa.float64())),
+                *(pa.array(c, pa.int32()) for c in columns[1:]),
+            ],
+            names,
+        )
+
+
 def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Settings) -> np.ndarray:
     """Leading right singular vectors (terms x rank) of the passages and the items.
 
     The items' own rows are weighted up to the passages' total, or a large corpus would leave
     them no direction. Partial products have the size terms x (rank + extra); they are cut
-    into rows by term and summed by Spark, so no task gathers more than one row's parts.
+    into blocks of terms, and a block's parts are summed as they stream by, in two rounds.
     """
     wide = min(settings.rank + settings.extra, idf.size)
     rng = np.random.default_rng(11)
@@ -167,7 +190,7 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Setti
                     row, column, weight = _weights(_passages(found, size)[known], term[known], idf)
                     total += _gram_times(row, column, weight, omega)
                     rows += row[-1] + 1
-        blocks = [total[k : k + 64] for k in range(0, len(total), 64)]
+        blocks = [total[k : k + TERM_BLOCK] for k in range(0, len(total), TERM_BLOCK)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(range(len(blocks) + 1), pa.int32()),
@@ -176,16 +199,13 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Setti
             ["block", "part"],
         )
 
-    parts = docs.select("text").mapInArrow(run, "block int, part array<double>")
-    summed = (
-        parts.select("block", F.posexplode("part").alias("at", "x"))
-        .groupBy("block", "at")
-        .agg(F.sum("x").alias("x"))
-        .groupBy("block")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("x"))
-    )
-    got = {r[0]: np.array(r[1]) for r in summed.collect()}  # terms x (rank + extra) numbers
-    n_blocks = -(-idf.size // 64)
+    parts = docs.select("text").mapInArrow(run, PARTS)
+    parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    for keys in (("block", "salt"), ("block",)):
+        parts = parts.repartition(*keys).select("block", "part", *keys[1:])
+        parts = parts.mapInArrow(_sum_parts, PARTS + ", salt int" * (len(keys) > 1))
+    got = {r[0]: np.array(r[1]) for r in parts.collect()}  # terms x (rank + extra) numbers
+    n_blocks = -(-idf.size // TERM_BLOCK)
     own_row, own_term, own_weight = _weights(
         np.repeat(np.arange(len(items.words)), [w.size for w in items.words]),
         items.index(np.concatenate(items.words)),
@@ -207,10 +227,8 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Setti
 class Judge:
     """Scores documents against the items of one block."""
 
-    def __init__(self, items: Items, idf: np.ndarray, other_idf: float, basis: np.ndarray, settings: Settings):
+    def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray, settings: Settings):
         self.items, self.settings = items, settings
-        self.idf2 = (idf**2).astype(np.float64)
-        self.other2 = other_idf**2
         self.vectors = (idf[:, None] * basis).astype(np.float32)
         self.masks, self.answers, by_size = [], [], defaultdict(list)
         for k, words in enumerate(items.words):
@@ -220,19 +238,23 @@ class Judge:
             self.masks.append(mask)
             distinct = np.unique(words)
             rare = distinct[np.argsort(-idf[items.index(distinct)], kind="stable")]
-            self.answers.append(set(rare[: settings.answer_words].tolist()))
+            self.answers.append(rare[: settings.answer_words])
             width = 12
             while width < 1.2 * words.size:
                 width = width * 3 // 2
             by_size[width].append(k)
         self.classes = []
         for width, members in sorted(by_size.items()):
-            latent = []
-            for k in members:
-                term = items.index(items.words[k])
-                vector = self.vectors[term].sum(axis=0)
-                latent.append(vector / max(np.sqrt(self.idf2[term].sum()), 1e-9))
-            self.classes.append((width, max(1, width // 6), np.array(members), np.array(latent, np.float32)))
+            latent = np.array([self.vectors[items.index(items.words[k])].sum(axis=0) for k in members])
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+            rare = np.zeros(items.terms.size, np.int64)
+            rare[items.index(np.concatenate([self.answers[k] for k in members]))] = 1
+            least = min(self.needed(k) for k in members)
+            self.classes.append((width, max(1, width // 6), np.array(members), latent.astype(np.float32), rare, least))
+
+    def needed(self, item: int) -> int:
+        """Answer words that a window must have."""
+        return int(np.ceil(self.settings.answers * len(self.answers[item])))
 
     def common(self, item: int, window: list[int]) -> int:
         """Length of the longest common subsequence, one machine word of bits per 64 item words."""
@@ -246,14 +268,12 @@ class Judge:
                 row = ((row + both) | (row - both)) & every
         return n - row.bit_count()
 
-    def verdict(self, item: int, window: list[int]) -> tuple[float, bool]:
-        share = self.common(item, window) / self.items.words[item].size
-        if share >= self.settings.copy:
-            return share, True
-        if share < self.settings.paraphrase:
-            return share, False
-        answers = self.answers[item]
-        return share, len(answers.intersection(window)) >= self.settings.answers * len(answers)
+    def verdict(self, item: int, window: np.ndarray) -> float | None:
+        """Share of the item's words that the window has in order, if it is enough to confirm."""
+        share = self.common(item, window.tolist()) / self.items.words[item].size
+        if share < self.settings.share or np.isin(self.answers[item], window).sum() < self.needed(item):
+            return None
+        return share
 
     def judge(self, found: Words, n_docs: int) -> list[tuple | None]:
         """Best confirmed ``(share, -item, item, cosine)`` of each document, or None."""
@@ -262,37 +282,37 @@ class Judge:
             return best
         term = self.items.index(found.hashes)
         known = term >= 0
-        own2 = np.where(known, self.idf2[term], 0.0)
-        mass = np.concatenate(([0.0], np.cumsum(own2)))
-        whole = np.concatenate(([0.0], np.cumsum(np.where(known, own2, self.other2))))
         heads = np.flatnonzero(np.concatenate(([True], found.doc[1:] != found.doc[:-1])))
         ends = np.append(heads[1:], found.doc.size)
         at_known = np.concatenate(([0], np.cumsum(known)))
         terms = term[known]
-        for width, step, members, latent in self.classes:
+        for width, step, members, latent, rare, least in self.classes:
+            answers = np.concatenate(([0], np.cumsum(np.where(known, rare[term], 0))))
             counts = np.maximum(1, -(-(ends - heads - width) // step) + 1)
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             begin = np.repeat(heads, counts) + place * step
-            end = np.minimum(begin + width, np.repeat(ends, counts))
-            total = whole[end] - whole[begin]
-            # The cosine is at most the known share of a window's length, so the rest can go.
-            go = np.flatnonzero(mass[end] - mass[begin] >= self.settings.cosine**2 * total)
+            last = np.repeat(ends, counts)
+            end = np.minimum(begin + width, last)
+            # Without answer words of any of these items no verdict can be confirmed.
+            go = np.flatnonzero(answers[end] - answers[begin] >= least)
+            first = np.repeat(heads, counts)
             for lo in range(0, go.size, 4096):
                 some = go[lo : lo + 4096]
-                a, b = at_known[begin[some]], at_known[end[some]]
-                sizes = b - a
-                local = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                vectors = np.add.reduceat(self.vectors[terms[np.repeat(a, sizes) + local]], np.cumsum(sizes) - sizes)
-                cosine = (vectors @ latent.T) / np.sqrt(total[some])[:, None]
+                a, sizes = at_known[begin[some]], at_known[end[some]] - at_known[begin[some]]
+                starts = np.cumsum(sizes) - sizes
+                local = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+                vectors = np.add.reduceat(self.vectors[terms[np.repeat(a, sizes) + local]], starts)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+                cosine = vectors @ latent.T
                 for w, k in zip(*np.nonzero(cosine >= self.settings.cosine)):
-                    item, doc = int(members[k]), int(found.doc[begin[some[w]]])
+                    item, at = int(members[k]), some[w]
+                    doc = int(found.doc[begin[at]])
                     if best[doc] is not None and best[doc][0] >= 1.0:
                         continue
                     margin = self.items.words[item].size // 4
-                    first = max(heads[np.searchsorted(heads, begin[some[w]], "right") - 1], begin[some[w]] - margin)
-                    last = min(ends[np.searchsorted(ends, end[some[w]], "left")], end[some[w]] + margin)
-                    share, ok = self.verdict(item, found.hashes[first:last].tolist())
-                    if ok and (best[doc] is None or (share, -item) > best[doc][:2]):
+                    window = found.hashes[max(first[at], begin[at] - margin) : min(last[at], end[at] + margin)]
+                    share = self.verdict(item, window)
+                    if share is not None and (best[doc] is None or (share, -item) > best[doc][:2]):
                         best[doc] = (share, -item, item, float(cosine[w, k]))
         return best
 
@@ -302,13 +322,13 @@ def item_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list]:
     n_blocks = max(1, -(-benchmark.count() // settings.block))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     for k in range(n_blocks):
-        yield benchmark.where(block == k).select("item_id", "text").collect()
+        yield benchmark.where(block == k).select("item_id", F.lower("text")).collect()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``(record, contaminated, item_id, share, cosine)``: each whole row of ``docs`` as a struct.
 
-    ``item_id`` is the item with the largest confirmed ``share`` (ties: the first by id),
+    Case and punctuation make no difference. ``item_id`` is the item with the largest confirmed ``share`` (ties: the first by id),
     ``cosine`` that of its window; both null for a clean row. Null and empty texts, and items
     without enough words, match nothing. Repeated rows get equal verdicts. An empty
     benchmark leaves every row clean, an empty table gives an empty result.
@@ -319,18 +339,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings
         F.lit(None).cast(item_type).alias("item_id"),
         F.lit(None).cast("double").alias("share"),
         F.lit(None).cast("double").alias("cosine"),
-        F.col("text").alias("text"),
+        F.lower("text").alias("text"),
     )
-    texts = docs.select("text")
+    texts = docs.select(F.lower("text").alias("text"))
     for rows in item_blocks(benchmark, settings):
         items = read_items(rows, settings)
         if not items.ids:
             continue
         n, counts = term_counts(texts, items, settings)
         idf = np.log((n + 1) / (counts + 1)) + 0.1
-        # A word outside the benchmark weighs like the median term of it.
         basis = latent_basis(texts, items, idf, settings)
-        out = out.mapInArrow(_scorer(Judge(items, idf, float(np.median(idf)), basis, settings)), out.schema)
+        out = out.mapInArrow(_scorer(Judge(items, idf, basis, settings)), out.schema)
     return out.select("record", F.col("share").isNotNull().alias("contaminated"), "item_id", "share", "cosine")
 
 
