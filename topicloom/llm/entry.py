@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, sharding, token_counts, url_filters
+from topicloom.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, sharding, token_counts, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0: fine, 1: of poor quality, 2: toxic."""
+    documents = table(spark, sf_dir, "documents")
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("toxic") == 0, 0)
+    graded = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    settings = toxicity.Settings()
+    model = toxicity.train(documents, graded, settings)
+    return toxicity.grade_toxicity(documents, model, settings).withColumn("kept", ~F.col("toxic"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -66,6 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting,
+        op3_toxicity,
         op4_token_counts,
         op5_url_filters,
         op6_sharding,
