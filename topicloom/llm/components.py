@@ -50,7 +50,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
     shared folder ends its lineage. It stops when only stars are left. A hub is cut into
     slices when its links are joined back.
     """
-    links = stash(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+    apart = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links = stash(apart.distinct(), name)
     while True:
         n = row_count(links)
         if not n:
