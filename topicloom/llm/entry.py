@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, sharding, token_counts, toxicity, url_filters
+from topicloom.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, pieces, sharding, token_counts, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select("record.doc_id", "ids", "n_pieces", "round_trip")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0: fine, 1: of poor quality, 2: toxic."""
     documents = table(spark, sf_dir, "documents")
@@ -76,6 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting,
+        op2_sentencepiece,
         op3_toxicity,
         op4_token_counts,
         op5_url_filters,
