@@ -27,11 +27,12 @@ FAN = 8  # runs that meet in one round
 KEYS = ["sha", "n_bytes", "crc"]
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, sha, n_bytes, crc)`` of each normalised text (A-Z to a-z; null is empty)."""
+def digest_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with the digest of each normalised ``text`` (A-Z to a-z; null is empty) in its place."""
+    rest = [c for c in rows.columns if c != "text"]
     schema = T.StructType(
-        [
-            docs.schema["doc_id"],
+        [rows.schema[c] for c in rest]
+        + [
             T.StructField("sha", T.BinaryType()),
             T.StructField("n_bytes", T.LongType()),
             T.StructField("crc", T.LongType()),
@@ -40,20 +41,21 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(len(rest))):
                 low = memoryview(LOWER[data])
                 texts = [low[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+                part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
+                    [part.column(k) for k in range(len(rest))]
+                    + [
                         pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                         pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([zlib.crc32(t) for t in texts], pa.int64()),
                     ],
-                    ["doc_id", *KEYS],
+                    schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.select(*rest, "text").mapInArrow(run, schema)
 
 
 def _heads(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,7 @@ def digest_groups(docs: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame
     ``groups`` has the digest, ``doc_id`` (the largest of the group), ``copies`` and ``n``.
     Both are tables in the shared folder.
     """
-    rows = digest_rows(docs).withColumn("run", F.spark_partition_id())
+    rows = digest_rows(docs.select("doc_id", "text")).withColumn("run", F.spark_partition_id())
     order = ["run", *KEYS, F.asc_nulls_first("doc_id")]
     rows = stash(rows.sortWithinPartitions(*order), "digests")
     one = F.lit(1).cast("long")
@@ -160,3 +162,20 @@ def exact_duplicates(docs: DataFrame, fan: int = FAN) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def distinct_texts(docs: DataFrame, fan: int = FAN) -> DataFrame:
+    """Whole rows of ``docs``, one of each class of equal texts: that with the largest id.
+
+    Of rows that repeat the id as well as the text, which nothing tells apart, one stays.
+    Digests are made again beside the rows, so nothing is matched by id alone.
+    """
+    _, groups = digest_groups(docs, fan)
+    shared = groups.where("n > 1").select(*KEYS, F.col("doc_id").alias("keep_id"), "copies", "n")
+    rows = digest_rows(docs.select(F.struct(*docs.columns).alias("record"), "doc_id", "text"))
+    found = join_groups(rows, shared, KEYS, "n", ["doc_id"], docs.count())
+    kept = found.where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if groups.where("copies > 1").limit(1).count():
+        once = kept.where("coalesce(copies, 1) = 1")
+        kept = once.unionByName(kept.where("copies > 1").dropDuplicates(KEYS))
+    return kept.select("record.*")

@@ -363,3 +363,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def distinct_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Whole rows of ``docs``, one document of each component: that with the smallest id.
+
+    Rows with a null id cannot be named by a link, so they stay; rows under one id share its fate.
+    """
+    dropped = near_duplicates(docs, settings).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
