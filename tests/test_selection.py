@@ -25,7 +25,7 @@ def test_quantiles_equal_numpy(spark, direct):
     ):
         df = spark.createDataFrame([(float(v),) for v in sample] + [(None,)], "x double")
         probabilities = (0.0, 0.25, 0.5, 0.75, 1.0)
-        got = exact_quantiles(df, "x", probabilities, direct_rows=direct)
+        got = exact_quantiles(df, "x", probabilities, first_slack=direct)
         assert got == pytest.approx(list(np.quantile(sample, probabilities)), rel=1e-12)
 
 
@@ -36,7 +36,7 @@ def test_quantiles_recover_from_a_bad_sketch(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "MIN_ACCURACY", 5)
     monkeypatch.setattr(quantiles, "MAX_ACCURACY", 5)
     df = spark.range(2000).select((F.col("id") * 1.0).alias("x"))
-    assert exact_quantiles(df, "x", (0.1, 0.9), direct_rows=0) == pytest.approx([199.9, 1799.1])
+    assert exact_quantiles(df, "x", (0.1, 0.9)) == pytest.approx([199.9, 1799.1])
 
 
 def expected_split(rows, seed):

@@ -75,6 +75,48 @@ def test_small_splits_do_not_cut_records(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+RECORD = (
+    '<snintegrale tipoprov="S" anno="2013" numdec="{n}" nsz="L"><testo>{t}</testo>'
+    "<dispositivo>d</dispositivo></snintegrale>"
+)
+
+
+def _three(middle: str) -> str:
+    return "<root>\n" + RECORD.format(n=1, t="uno") + middle + RECORD.format(n=3, t="tre") + "\n</root>"
+
+
+@pytest.mark.parametrize(
+    ("middle", "encoding", "texts"),
+    [
+        (RECORD.format(n=2, t="due").replace("</snintegrale>", "</snintegrale >"), None, ["due", "tre", "uno"]),
+        ("<!-- " + RECORD.format(n=2, t="due") + " -->", None, ["tre", "uno"]),
+        (RECORD.format(n=2, t="<![CDATA[due </snintegrale>]]>"), None, ["due </snintegrale>", "tre", "uno"]),
+        (RECORD.format(n=2, t="città"), "ISO-8859-1", ["città", "tre", "uno"]),
+        (RECORD.format(n=2, t="città"), "utf-8", ["città", "tre", "uno"]),
+    ],
+)
+def test_no_record_is_lost_by_cutting(spark, tmp_path, middle, encoding, texts):
+    head = f'<?xml version="1.0" encoding="{encoding}"?>\n' if encoding else ""
+    (tmp_path / "a.xml").write_text(head + _three(middle), encoding=encoding or "utf-8")
+    (tmp_path / "b.xml").write_text(_three(""), encoding="utf-8")
+    expected = sorted(texts + ["uno", "tre"])
+    assert sorted(r.testo for r in scan_decisions(spark, str(tmp_path)).collect()) == expected
+    whole = scan_decisions(spark, str(tmp_path), split_files=False)
+    assert sorted(r.testo for r in whole.collect()) == expected
+
+
+def test_ids_are_unique_and_survive_a_move(spark, tmp_path):
+    same = RECORD.format(n=1, t="uno") + RECORD.format(n=1, t="due") + RECORD.format(n=1, t="due")
+    found = []
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.xml").write_text(f"<root>{same}</root>", encoding="utf-8")
+        rows = read_decisions(spark, str(tmp_path / folder)).collect()
+        assert len({r.doc_id for r in rows}) == 3
+        found.append(sorted((r.doc_id, r.testo) for r in rows))
+    assert found[0] == found[1]
+
+
 def test_star_and_latin1(spark):
     rows = [("*a*b",), ("a*b",), ("ab",), (None,)]
     df = spark.createDataFrame(rows, "v string").select(delete_first_star(F.col("v")))
@@ -97,10 +139,10 @@ def test_corpus_metadata(spark, xml_path):
 
 def test_corpus_export(spark, tmp_path):
     corpus = spark.createDataFrame([(1, "uno\ndue"), (2, None)], "doc_id long, text string")
-    assert export_corpus(corpus, str(tmp_path / "text")) == "text"
+    export_corpus(corpus, str(tmp_path / "text"))
     files = list((tmp_path / "text" / "doc_id=1").glob("*.txt"))
     assert [f.read_text() for f in files] == ["uno\ndue\n"]
-    assert export_corpus(corpus, str(tmp_path / "parquet"), as_text=False) == "parquet"
+    export_corpus(corpus, str(tmp_path / "parquet"), as_text=False)
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pathlib import Path
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,11 +46,20 @@ def clean(text: Column | str, steps: Sequence[Step] = DEFAULT_STEPS) -> Column:
     return F.trim(out)
 
 
+# Spark's lists of five languages, kept here so that they can be read without a session.
+LISTS = Path(__file__).parent / "stopword_lists"
+
+
 def stopwords(*languages: str) -> list[str]:
     """Lower-cased union of Spark's stopword lists for the named languages."""
     words: set[str] = set()
     for language in languages:
-        words.update(w.lower() for w in StopWordsRemover.loadDefaultStopWords(language))
+        own = LISTS / f"{language}.txt"
+        if own.exists():
+            found = own.read_text(encoding="utf-8").splitlines()
+        else:
+            found = StopWordsRemover.loadDefaultStopWords(language)
+        words.update(w.lower() for w in found if w)
     return sorted(words)
 
 

@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 from topicloom.operators.levels import numbered
 from topicloom.stash import join_on_term, row_count, stash
 
-# spark.ml keeps a dense row of this length per class or topic on the driver and broadcasts it.
-MAX_FEATURES = 20_000_000
-
 
 def term_index(vocabulary: DataFrame) -> tuple[DataFrame, int]:
     """``(term, df, ix)`` in alphabetical order, and the number of terms."""
@@ -20,10 +17,6 @@ def term_index(vocabulary: DataFrame) -> tuple[DataFrame, int]:
     size = row_count(index)
     if size == 0:
         raise ValueError("the vocabulary is empty")
-    if size > MAX_FEATURES:
-        raise ValueError(
-            f"{size} terms exceed the {MAX_FEATURES} a model can hold; reduce the vocabulary first"
-        )
     return index, size
 
 

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
+from topicloom.functions.text import stopwords
 from topicloom.plans.queries import STOPWORD_LANGUAGES
 
 
 def stopword_rows() -> str:
-    """The stopword lists shipped with Spark as SQL rows, read without a session."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    words: set[str] = set()
-    with zipfile.ZipFile(jar) as z:
-        for language in STOPWORD_LANGUAGES:
-            text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-            words.update(w.lower() for w in text.splitlines() if w)
-    return ", ".join("('" + w.replace("'", "''") + "')" for w in sorted(words))
+    """The stopword lists as SQL rows; they are text files of this package."""
+    return ", ".join("('" + w.replace("'", "''") + "')" for w in stopwords(*STOPWORD_LANGUAGES))
 
 
 CLEAN = (
@@ -122,6 +112,8 @@ def oracle() -> dict[str, str]:
         "xml_decisions": decisions_sql(),
         "xml_file_decisions": decisions_sql(),
         "xml_column_decisions": decisions_sql(latin1=True),
+        "xml_mixed_decisions": decisions_sql(),
+        "unique_decision_ids": "SELECT count(*) AS n, count(*) AS n_ids FROM documents WHERE lang <> 'de'",
         "decisions_corpus": CORPUS,
         "top_classes": TOP_SOURCES,
         "kept_classes": f"""WITH top AS ({TOP_SOURCES}) SELECT doc_id, source AS label
@@ -258,6 +250,7 @@ def oracle() -> dict[str, str]:
             SELECT round(g, 8) AS lambda_max, term, lang AS label FROM g
             ORDER BY g DESC, term, label LIMIT 1""",
         "exported_corpus": "SELECT doc_id, text FROM documents",
+        "exported_table": "SELECT doc_id, text FROM documents",
         "exported_terms": base
         + SCORE_CTES
         + """ SELECT CASE WHEN score BETWEEN lo AND hi THEN 'kept' ELSE 'discarded' END AS list, term

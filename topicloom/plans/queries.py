@@ -103,6 +103,31 @@ def xml_column_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_decisions(xml_strings(spark, sf_dir), "value", latin1=True).drop("doc_id")
 
 
+def xml_mixed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records in files of three kinds: plain, closing tags with a blank, comments that
+    hold a record, in equal shares by id."""
+    path = new_path(spark, "xml-mixed")
+    text = xml_strings(spark, sf_dir).select("value", F.xxhash64("value").alias("key"))
+    decoy = f'<!-- <{ROW_TAG} tipoprov="S"><testo>no</testo><dis>no</dis></{ROW_TAG}> -->'
+    blank = F.regexp_replace("value", f"</{ROW_TAG}>", f"</{ROW_TAG} >")
+    kinds = (F.col("value"), blank, F.concat(F.lit(decoy), "value"))
+    for k, value in enumerate(kinds):
+        part = text.where(F.pmod("key", F.lit(len(kinds))) == k)
+        part.select(F.concat(F.lit(""), value).alias("value")).write.mode("append").text(path)
+    return scan_decisions(spark, path).drop("doc_id")
+
+
+def unique_decision_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that share year, number and section by tens still get ids of their own."""
+    records = xml_records(spark, sf_dir)
+    few = records.withColumn("_anno", F.lit(2013)).withColumn("_numdec", F.col("_numdec") % 10)
+    path = new_path(spark, "xml-ids")
+    few.write.format("xml").option("rootTag", "decisions").option("rowTag", ROW_TAG).save(path)
+    return read_decisions(spark, path).agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids")
+    )
+
+
 def decisions_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = read_decisions(spark, xml_files(spark, sf_dir))
     made = decisions_to_corpus(decisions, METADATA)
@@ -409,7 +434,7 @@ def lda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sweep_topics(
         base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=short, lda=SHORT_LDA
     )
-    return found.runs
+    return found.runs.drop("fit_seconds")
 
 
 def composition_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,10 +449,15 @@ def composition_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks, read back ---------------------------------------------------------------------
 
 
+def exported_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "corpus")
+    export_corpus(corpus(spark, sf_dir), path, as_text=False)
+    return spark.read.parquet(path)
+
+
 def exported_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
-    if export_corpus(corpus(spark, sf_dir), path) == "parquet":
-        return spark.read.parquet(path)
+    export_corpus(corpus(spark, sf_dir), path)
     texts = spark.read.schema("value string, doc_id long").text(path, wholetext=True)
     return texts.select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
 
@@ -447,6 +477,8 @@ QUERIES: dict[str, Query] = {
     "xml_decisions": xml_decisions,
     "xml_file_decisions": xml_file_decisions,
     "xml_column_decisions": xml_column_decisions,
+    "xml_mixed_decisions": xml_mixed_decisions,
+    "unique_decision_ids": unique_decision_ids,
     "decisions_corpus": decisions_corpus,
     "top_classes": top_classes,
     "kept_classes": kept_classes,
@@ -492,5 +524,6 @@ QUERIES: dict[str, Query] = {
     "lda_sweep": lda_sweep,
     "composition_errors": composition_errors,
     "exported_corpus": exported_corpus,
+    "exported_table": exported_table,
     "exported_terms": exported_terms,
 }

@@ -93,7 +93,7 @@ def sweep_topics(
             seconds = time.time() - start
             found = classify_compositions(posteriors, split, repeated_cv, options)
         except Exception as failure:  # a failing k must not stop the others
-            return k, None, None, time.time() - start, f"{type(failure).__name__}: {failure}"[:2000]
+            return k, None, None, time.time() - start, f"{type(failure).__name__}: {failure}"
         return k, model, found, seconds, None
 
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
@@ -37,6 +37,13 @@ XML_RECORD = T.StructType(
     + _strings("testo", "tes", "dispositivo", "dis")
 )
 
+# Marks of a file that cutting at the closing tag could misread: comments, CDATA, entities or a
+# document type, a closing tag with blanks, a declared encoding other than UTF-8.
+UNSAFE_PATTERN = (
+    rf"(?i)<!|</{ROW_TAG}\s+>|<\?xml[^>]*\sencoding\s*=\s*[\"'](?!utf-?8[\"'])"
+)
+OPENING_PATTERN = rf"<{ROW_TAG}(?:\s[^>]*)?(?<!/)>"
+
 # An empty element, or an opening tag up to the end of the chunk it was cut from.
 RECORD_PATTERN = rf"(?s)<{ROW_TAG}(?:\s[^>]*)?/>|<{ROW_TAG}(?:\s[^>]*)?>.*?</{ROW_TAG}>"
 
@@ -53,6 +60,36 @@ def latin1_or_null(text: Column) -> Column:
     return F.when(~text.rlike(r"[^\x{00}-\x{FF}]"), text)
 
 
+def base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def with_unique_ids(decisions: DataFrame) -> DataFrame:
+    """``decisions`` with ids that occur once.
+
+    Of rows under one natural id the first in the order of their content keeps it; the others
+    get an id hashed from it and their place. The place is counted by content first, so only
+    rows equal in all columns are numbered together.
+    """
+    many = decisions.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not many.limit(1).count():
+        return decisions
+    many = broadcast_if_small(stash(many, "repeated-ids"))
+    single = decisions.join(many, "doc_id", "left_anti")
+    repeated = decisions.join(many, "doc_id", "left_semi")
+    content = [c for c in decisions.columns if c != "doc_id"]
+    code = F.xxhash64(*[x for c in content for x in (F.col(c).isNull(), F.col(c))])
+    repeated = repeated.withColumn("content", code)
+    kinds = repeated.groupBy("doc_id", "content").count()
+    kind = F.row_number().over(Window.partitionBy("doc_id").orderBy("content"))
+    kinds = kinds.select("doc_id", "content", kind.alias("kind"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("content"))
+    placed = repeated.withColumn("copy", copy).join(kinds, ["doc_id", "content"])
+    first = (F.col("kind") == 1) & (F.col("copy") == 1)
+    fresh = F.when(first, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "content", "copy"))
+    return single.unionByName(placed.withColumn("doc_id", fresh).select(*decisions.columns))
+
+
 def final_decisions(records: DataFrame) -> DataFrame:
     """Records whose type is a final decision; a record without type is dropped."""
     return records.where(F.col("_tipoprov") == FINAL_DECISION)
@@ -62,7 +99,7 @@ def flatten_decisions(records: DataFrame, file_name: Column, latin1: bool = Fals
     """Decision columns (without ``id_materia``) of parsed records, one row per record.
 
     A record without a ruling keeps its row and ``doc_id`` but every other column is null.
-    ``doc_id`` hashes the raw year, number, section and file name.
+    ``doc_id`` hashes the raw year, number, section and file name without its folder.
     """
     ruling = F.coalesce("dispositivo", "dis")
     has_ruling = F.nullif(F.trim(ruling), F.lit("")).isNotNull()
@@ -88,7 +125,7 @@ def flatten_decisions(records: DataFrame, file_name: Column, latin1: bool = Fals
         "localita": attribute("localita"),
         "materia": delete_first_star(attribute("materia")),
     }
-    columns = [F.xxhash64("_anno", "_numdec", "_nsz", file_name).alias("doc_id")]
+    columns = [F.xxhash64("_anno", "_numdec", "_nsz", base_name(file_name)).alias("doc_id")]
     for name, value in values.items():
         typed = value.try_cast(DECISIONS[name].dataType)
         columns.append(F.when(has_ruling, typed).alias(name))
@@ -111,13 +148,32 @@ def parse_decisions(rows: DataFrame, xml: str, latin1: bool = False) -> DataFram
     return flatten_decisions(final_decisions(parsed.select("r.*")), F.lit(""), latin1)
 
 
-def _records_by_file(spark: SparkSession, path: str) -> DataFrame:
+def _records_by_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
     reader = spark.read.format("xml").option("rowTag", ROW_TAG).options(**XML_OPTIONS)
     records = reader.schema(XML_RECORD).load(path)
     return records.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def split_records(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+def unsafe_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files under ``path`` that may be cut at the closing tag, and files that may not.
+
+    One pass over the text, cut the same way, looks for anything that makes the cut differ from what
+    an XML parser reads, and counts opening against closing tags. The driver gets file
+    names only, which Spark's own file index holds there anyway.
+    """
+    chunks = spark.read.option("lineSep", f"</{ROW_TAG}>").text(path)
+    opened = F.size(F.regexp_extract_all("value", F.lit(OPENING_PATTERN), F.lit(0)))
+    files = (
+        chunks.select(F.col("_metadata.file_path").alias("file"), F.col("value").rlike(UNSAFE_PATTERN).alias("odd"), opened.alias("opened"))
+        .groupBy("file")
+        .agg(F.max("odd").alias("odd"), F.max("opened").alias("most"))
+        .select("file", (F.col("odd") | (F.col("most") > 1)).alias("unsafe"))
+        .collect()
+    )
+    return sorted(r[0] for r in files if not r[1]), sorted(r[0] for r in files if r[1])
+
+
+def split_records(reader: DataFrameReader | DataStreamReader, path: str | list[str]) -> DataFrame:
     """Records of UTF-8 files, cut at the closing tag so that a file spreads over many tasks."""
     chunks = reader.option("lineSep", f"</{ROW_TAG}>").text(path)
     elements = F.regexp_extract_all(
@@ -136,10 +192,18 @@ def scan_decisions(
     """Decision columns of the XML files under ``path``.
 
     With ``split_files`` one file may be read by many tasks, so a single huge file is no
-    bottleneck; the files must be UTF-8. Without it the XML source reads each file as a
-    whole in one task, in whatever encoding the file declares.
+    bottleneck; files for which that could misread a record are told by a pass over
+    their text and read as a whole by the XML source, one task each, in whatever encoding
+    they declare. Without it all files are read that way. The rows are the same.
     """
-    records = split_records(spark.read, path) if split_files else _records_by_file(spark, path)
+    if split_files:
+        safe, unsafe = unsafe_files(spark, path)
+        records = split_records(spark.read, safe) if safe else None
+        if unsafe or records is None:
+            whole = _records_by_file(spark, unsafe or path)
+            records = whole if records is None else records.unionByName(whole)
+    else:
+        records = _records_by_file(spark, path)
     return flatten_decisions(final_decisions(records), F.col("file"), latin1)
 
 
@@ -151,4 +215,5 @@ def read_decisions(
     The files are parsed once, into the shared folder; numbering the subjects reads one
     column of that table.
     """
-    return with_subject_index(stash(scan_decisions(spark, path, latin1, split_files), "decisions"))
+    scanned = stash(scan_decisions(spark, path, latin1, split_files), "decisions")
+    return with_subject_index(with_unique_ids(scanned))

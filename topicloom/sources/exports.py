@@ -5,24 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this many documents one folder per document overloads any file system.
-TEXT_FILE_DOCS = 1_000
 
+def export_corpus(corpus: DataFrame, out_dir: str, as_text: bool = True) -> None:
+    """Write one text file per document, or with ``as_text`` off the whole table as parquet.
 
-def export_corpus(corpus: DataFrame, out_dir: str, as_text: bool | None = None) -> str:
-    """Write one text file per document, or parquet for a large corpus; returns the format.
-
-    As text, each document lands in its own ``doc_id=...`` folder, closed by a line end.
-    ``as_text`` None chooses by the number of documents.
+    As text, each document lands in its own ``doc_id=...`` folder, closed by a line end. That
+    suits people and small corpora; parquet suits large ones. The caller chooses.
     """
-    if as_text is None:
-        as_text = corpus.select("doc_id").limit(TEXT_FILE_DOCS + 1).count() <= TEXT_FILE_DOCS
     if as_text:
         texts = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         texts.write.partitionBy("doc_id").text(out_dir)
-        return "text"
-    corpus.write.parquet(out_dir)
-    return "parquet"
+    else:
+        corpus.write.parquet(out_dir)
 
 
 def export_terms(terms: DataFrame, out_dir: str) -> None:

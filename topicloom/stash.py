@@ -11,12 +11,13 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A lookup table is broadcast up to this many rows: two narrow columns, tens of MB at most.
+# A lookup table is broadcast up to this many rows and this many bytes of its values.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 # Row counts of stashes: None until somebody asks. A stash never changes once written.
 _stashed_rows: weakref.WeakKeyDictionary[DataFrame, int | None] = weakref.WeakKeyDictionary()
@@ -79,13 +80,29 @@ def at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def value_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: texts by their length, everything else as eight."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        text = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        size = size + (F.coalesce(F.octet_length(field.name), F.lit(0)) if text else F.lit(0)) + F.lit(8)
+    return size
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows that take at most ``max_bytes``."""
+    if not at_most(df, limit):
+        return False
+    return (df.agg(F.sum(value_bytes(df))).first()[0] or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` is known to hold at most ``limit`` rows.
+    """Hint a broadcast only when ``df`` is known to hold at most ``limit`` rows and few bytes.
 
     A larger table is returned without a hint: Catalyst then shuffles, and adaptive
     execution splits skewed partitions.
     """
-    return F.broadcast(df) if at_most(df, limit) else df
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def spread(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
@@ -119,7 +136,7 @@ def join_on_term(
         out = rows.columns
     else:
         out = rows.columns + [c for c in terms.columns if c not in rows.columns]
-    if at_most(terms, broadcast_rows):
+    if fits_broadcast(terms, broadcast_rows):
         return rows.join(F.broadcast(terms), "term", how).select(*out)
 
     total = terms.agg(F.sum("df")).first()[0] or 0
