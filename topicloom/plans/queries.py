@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,12 @@ def xml_column_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_decisions(xml_strings(spark, sf_dir), "value", latin1=True).drop("doc_id")
 
 
+def in_root(batches):
+    """The lines of a task between the tags of a root element, as one task writes one file."""
+    for part in ([pa.record_batch([["<decisions>"]], ["value"])], batches, [pa.record_batch([["</decisions>"]], ["value"])]):
+        yield from part
+
+
 def xml_mixed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records in files of three kinds: plain, closing tags with a blank, comments that
     hold a record, in equal shares by id."""
@@ -113,7 +120,7 @@ def xml_mixed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (F.col("value"), blank, F.concat(F.lit(decoy), "value"))
     for k, value in enumerate(kinds):
         part = text.where(F.pmod("key", F.lit(len(kinds))) == k)
-        part.select(F.concat(F.lit(""), value).alias("value")).write.mode("append").text(path)
+        part.select(value.alias("value")).mapInArrow(in_root, "value string").write.mode("append").text(path)
     return scan_decisions(spark, path).drop("doc_id")
 
 
