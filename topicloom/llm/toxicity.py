@@ -30,12 +30,13 @@ from topicloom.llm.common import (
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` labelled rows at most are fitted on, those with the smallest id hash.
+    """Grades run from 0 to ``top``. ``train_rows`` labelled rows at most are fitted on, those with the smallest id hash.
 
     ``bits`` of feature hash; ``beginnings`` in bytes; a feature needs ``min_rows`` rows and a
     score of ``min_z`` to enter, and ``max_features`` enter at most; ``ridge`` penalises weights.
     """
 
+    top: int = 2
     train_rows: int = 8_000
     bits: int = 20
     beginnings: tuple[int, ...] = (4, 5, 6)
@@ -79,7 +80,7 @@ def choose_features(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, set
     with_all = np.bincount(feature, minlength=size)
     p = np.clip(with_all / max(1, grade.size), 1e-12, 1 - 1e-12)
     z = np.zeros(size)
-    for k in range(1, int(grade.max(initial=0)) + 1):
+    for k in range(1, settings.top + 1):
         bad = grade >= k
         n1, n0 = max(1, int(bad.sum())), max(1, int((~bad).sum()))
         with_bad = np.bincount(feature[bad[row]], minlength=size)
@@ -97,11 +98,10 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, setting
     ``b = P(y >= grade + 1)`` the log-likelihood has slope ``1 - a - b`` and curvature
     ``a(1 - a) + b(1 - b)`` in the score. Thresholds are kept in order.
     """
-    n, top = grade.size, max(1, int(grade.max(initial=0)))
+    n, top = grade.size, settings.top
     weights = np.zeros(1 << settings.bits, np.float32)
     chosen = choose_features(row, feature, grade, settings)
-    share = np.array([np.mean(grade >= k) if n else 0.0 for k in range(1, top + 1)])
-    share = np.clip(share, 1 / (n + 2), 1 - 1 / (n + 2))
+    share = np.array([((grade >= k).sum() + 0.5) / (n + 2) for k in range(1, top + 1)])
     t = np.maximum.accumulate(np.log(1 / share - 1) + np.arange(top) * 1e-3)
     if not chosen.size:
         return OrdinalModel(weights, t)
