@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.schema import require_columns
@@ -11,23 +11,25 @@ from topicloom.schema import require_columns
 def confusion_table(rows: DataFrame, levels: list | None = None) -> DataFrame:
     """``(pred, truth, n)`` over the full square of levels, zero cells included.
 
-    ``levels`` are the class labels; they are read from the rows when not given.
+    ``levels`` are the class labels; without them the levels are those of the rows, a null
+    being a level of its own. The square is a join of the levels with themselves, as large as the
+    table asked for.
     """
     require_columns(rows, "pred", "truth", what="predictions")
     counts = rows.groupBy("pred", "truth").agg(F.count("*").alias("n"))
     if levels is None:
-        levels = sorted(
-            r[0]
-            for r in rows.select(F.explode(F.array("pred", "truth")).alias("v")).distinct().collect()
-        )
-    values = F.array(*[F.lit(v) for v in levels])
-    square = (
-        rows.sparkSession.range(1)
-        .select(F.explode(values).alias("pred"))
-        .select("pred", F.explode(values).alias("truth"))
+        sides = counts.select(F.explode(F.array("pred", "truth")).alias("v")).distinct()
+    else:
+        kind = rows.schema["truth"].dataType
+        sides = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v).cast(kind) for v in levels])).alias("v"))
+    all_levels = sides.agg(F.collect_set(F.struct("v")).alias("levels"))
+    square = all_levels.select("levels", F.explode("levels.v").alias("pred")).select(
+        "pred", F.explode("levels.v").alias("truth")
     )
-    return square.join(counts, ["pred", "truth"], "left").select(
-        "pred", "truth", F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    cells = counts.select(F.col("pred").alias("cell_pred"), F.col("truth").alias("cell_truth"), F.col("n").alias("cell_n"))
+    same = F.col("pred").eqNullSafe(F.col("cell_pred")) & F.col("truth").eqNullSafe(F.col("cell_truth"))
+    return square.join(cells, same, "left").select(
+        "pred", "truth", F.coalesce("cell_n", F.lit(0)).cast("long").alias("n")
     )
 
 
@@ -47,25 +49,28 @@ def class_stats(confusion: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("pred") == F.col("truth"), n).otherwise(0)).alias("hits"),
     )
     by_pred = confusion.groupBy(F.col("pred").alias("label")).agg(F.sum(n).alias("predicted"))
-    total = confusion.agg(F.sum(n)).first()[0]
+    total = F.sum("actual").over(Window.partitionBy())
 
     def ratio(above, below):
         return F.when(below != 0, above / below)
 
     hits, actual, predicted = F.col("hits"), F.col("actual"), F.col("predicted")
-    others = F.lit(total) - actual
-    true_negatives = F.lit(total) - actual - predicted + hits
+    others = F.col("total") - actual
+    true_negatives = F.col("total") - actual - predicted + hits
     sensitivity = ratio(hits, actual)
     specificity = ratio(true_negatives, others)
-    return by_truth.join(by_pred, "label").select(
+    # One row per class by now, so the window that adds them up is small.
+    by_pred = by_pred.withColumnRenamed("label", "pred_label")
+    by_class = by_truth.withColumn("total", total).join(by_pred, F.col("label").eqNullSafe(F.col("pred_label")))
+    return by_class.select(
         "label",
         sensitivity.alias("sensitivity"),
         specificity.alias("specificity"),
         ratio(hits, predicted).alias("pos_pred_value"),
-        ratio(true_negatives, F.lit(total) - predicted).alias("neg_pred_value"),
-        ratio(actual, F.lit(total)).alias("prevalence"),
-        ratio(hits, F.lit(total)).alias("detection_rate"),
-        ratio(predicted, F.lit(total)).alias("detection_prevalence"),
+        ratio(true_negatives, F.col("total") - predicted).alias("neg_pred_value"),
+        ratio(actual, F.col("total")).alias("prevalence"),
+        ratio(hits, F.col("total")).alias("detection_rate"),
+        ratio(predicted, F.col("total")).alias("detection_prevalence"),
         ((sensitivity + specificity) / 2).alias("balanced_accuracy"),
     )
 
@@ -80,24 +85,26 @@ def overall_stats(confusion: DataFrame) -> DataFrame:
         )
     )
     hit = F.when(F.col("pred") == F.col("truth"), n).otherwise(0)
-    total, hits = confusion.agg(F.sum(n), F.sum(hit)).first()
     margins = (
         confusion.select(sides.alias("s"))
         .groupBy("s.label")
         .agg(F.sum("s.actual").alias("actual"), F.sum("s.predicted").alias("predicted"))
     )
-    observed = F.lit(float(hits)) / F.lit(float(total))
-    expected = F.sum(
-        F.col("actual").cast("double") * F.col("predicted").cast("double")
-    ) / F.lit(float(total) * float(total))
-    return margins.agg(expected.alias("expected"), F.max("actual").alias("largest")).select(
-        F.lit(total).cast("long").alias("n"),
+    # Two one-row tables side by side.
+    cells = confusion.agg(F.sum(n).alias("total"), F.sum(hit).alias("hits"))
+    total = F.col("total").cast("double")
+    observed = F.col("hits").cast("double") / total
+    expected = F.col("products") / (total * total)
+    sums = margins.agg(
+        F.sum(F.col("actual").cast("double") * F.col("predicted").cast("double")).alias("products"),
+        F.max("actual").alias("largest"),
+    )
+    return sums.crossJoin(cells).select(
+        F.col("total").cast("long").alias("n"),
         observed.alias("accuracy"),
         (F.lit(1.0) - observed).alias("error"),
-        (F.col("largest") / F.lit(float(total))).alias("no_information_rate"),
-        F.when(F.col("expected") < 1, (observed - F.col("expected")) / (1 - F.col("expected"))).alias(
-            "kappa"
-        ),
+        (F.col("largest") / total).alias("no_information_rate"),
+        F.when(expected < 1, (observed - expected) / (1 - expected)).alias("kappa"),
     )
 
 
@@ -153,20 +160,23 @@ def lambda_rules(summary: DataFrame) -> DataFrame:
     """One row ``(lambda_min, lambda_1se, cvm_min, cvsd_min)`` from ``cv_summary``.
 
     lambda_min has the lowest error, the larger one on ties. lambda_1se is the largest
-    lambda whose error is within one standard error of it. The path, one entry per lambda,
-    is looked through in the same row, so both rules see the same numbers.
+    lambda whose error is within one standard error of it.
     """
     require_columns(summary, "lambda", "cvm", "cvsd", what="cv summary")
-    # min over structs orders by error, then by the larger lambda.
-    best = F.min(F.struct("cvm", (-F.col("lambda")).alias("neg"), "cvsd"))
-    gathered = summary.agg(best.alias("best"), F.collect_list(F.struct("lambda", "cvm")).alias("path"))
+    # min over structs orders by error, then by the larger lambda. One row joins the path.
+    best = summary.agg(F.min(F.struct("cvm", (-F.col("lambda")).alias("neg"), "cvsd")).alias("best"))
     limit = F.col("best.cvm") + F.coalesce(F.col("best.cvsd"), F.lit(0.0))
-    within = F.filter("path", lambda p: p["cvm"] <= limit)
-    return gathered.select(
-        (-F.col("best.neg")).alias("lambda_min"),
-        F.array_max(F.transform(within, lambda p: p["lambda"])).alias("lambda_1se"),
-        F.col("best.cvm").alias("cvm_min"),
-        F.col("best.cvsd").alias("cvsd_min"),
+    within = F.max(F.when(F.col("cvm") <= limit, F.col("lambda")))
+    return (
+        summary.crossJoin(F.broadcast(best))
+        .groupBy("best")
+        .agg(within.alias("lambda_1se"))
+        .select(
+            (-F.col("best.neg")).alias("lambda_min"),
+            "lambda_1se",
+            F.col("best.cvm").alias("cvm_min"),
+            F.col("best.cvsd").alias("cvsd_min"),
+        )
     )
 
 

@@ -250,6 +250,18 @@ def oracle() -> dict[str, str]:
             SELECT round(g, 8) AS lambda_max, term, lang AS label FROM g
             ORDER BY g DESC, term, label LIMIT 1""",
         "exported_corpus": "SELECT doc_id, text FROM documents",
+        "lda_posterior_docs": base
+        + " SELECT doc_id, 1.0::DOUBLE AS total FROM documents WHERE doc_id IN (SELECT doc_id FROM ent)",
+        "gibbs_posterior_docs": base
+        + " SELECT doc_id, 1.0::DOUBLE AS total FROM documents WHERE doc_id IN (SELECT doc_id FROM ent)",
+        "lda_phi_terms": base
+        + """ SELECT t::INTEGER AS topic, (SELECT count(*) FROM voc) AS n_terms, 1.0::DOUBLE AS total
+            FROM range(4) r(t)""",
+        "lasso_union": base + " SELECT term FROM voc",
+        "own_steps_tokens": r"""SELECT doc_id, term, count(*) AS tf FROM (
+            SELECT doc_id, unnest(string_split(trim(replace(regexp_replace(lower(text),
+                '[\p{P}\p{S}\p{Z}\p{Cc}]+', ' ', 'g'), 'z', '')), ' ')) AS term FROM documents)
+            WHERE length(term) >= 3 GROUP BY doc_id, term""",
         "exported_table": "SELECT doc_id, text FROM documents",
         "exported_terms": base
         + SCORE_CTES

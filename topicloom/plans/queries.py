@@ -386,9 +386,9 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- models -------------------------------------------------------------------------------
 
-# Short paths keep a query to tens of fits; the library's defaults are longer.
+# Paths and chains shorter than the library's defaults; every fit still sees all rows and terms.
 PATH = PathOptions(n_lambda=4, folds=3, max_iter=40)
-SHORT_LDA = LdaOptions(max_iter=10, gibbs=GibbsOptions(burnin=5, iterations=10, thin=5))
+CHAIN = LdaOptions(gibbs=GibbsOptions(burnin=20, iterations=30, thin=10))
 
 
 def lambda_max(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,23 +423,57 @@ def lasso_cv_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = prepare(base(spark, sf_dir))
-    return topics.top_terms(fit_lda(data, 4, "VEM", options=SHORT_LDA).phi)
+    return topics.top_terms(fit_lda(data, 4, "VEM").phi)
 
 
 def lda_fixed_alpha_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = prepare(base(spark, sf_dir))
-    return topics.top_terms(fit_lda(data, 4, "VEM_fixed", options=SHORT_LDA).phi)
+    return topics.top_terms(fit_lda(data, 4, "VEM_fixed").phi)
+
+
+def posterior_sums(posteriors: DataFrame) -> DataFrame:
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return posteriors.select("doc_id", F.round(total, 6).alias("total"))
+
+
+def lda_posterior_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a word has topic shares that add up to 1."""
+    return posterior_sums(fit_lda(prepare(base(spark, sf_dir)), 4, "VEM").posteriors)
+
+
+def gibbs_posterior_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posterior_sums(fit_lda(prepare(base(spark, sf_dir)), 4, "Gibbs", options=CHAIN).posteriors)
+
+
+def lda_phi_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every topic covers the vocabulary and its shares add up to 1."""
+    phi = fit_lda(prepare(base(spark, sf_dir)), 4, "VEM_fixed").phi
+    return phi.groupBy("topic").agg(F.count("*").alias("n_terms"), F.round(F.sum("phi"), 6).alias("total"))
+
+
+def lasso_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that the lasso keeps and terms that it discards, together the vocabulary it was given."""
+    found = reduce_dtm(
+        base(spark, sf_dir).stashed(), "lognet", classes=lang_labels(spark, sf_dir), seed=123, options=PATH
+    )
+    return found.reduced.vocabulary.select("term").unionByName(found.discarded.select("term"))
+
+
+def own_steps_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the caller's own cleaning steps: digits stay, the letter z goes."""
+    steps = (text_fn.lower_case, text_fn.separators_to_space, lambda text: F.regexp_replace(text, "z", ""))
+    return dtm_ops.count_terms(corpus(spark, sf_dir), steps=steps)
 
 
 def gibbs_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = prepare(base(spark, sf_dir))
-    return topics.top_topic(fit_lda(data, 4, "Gibbs", options=SHORT_LDA).posteriors)
+    return topics.top_topic(fit_lda(data, 4, "Gibbs", options=CHAIN).posteriors)
 
 
 def lda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = PathOptions(n_lambda=3, folds=2, max_iter=25)
     found = sweep_topics(
-        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=short, lda=SHORT_LDA
+        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=short
     )
     return found.runs.drop("fit_seconds")
 
@@ -528,6 +562,11 @@ QUERIES: dict[str, Query] = {
     "lda_topics": lda_topics,
     "lda_fixed_alpha_topics": lda_fixed_alpha_topics,
     "gibbs_topics": gibbs_topics,
+    "lda_posterior_docs": lda_posterior_docs,
+    "gibbs_posterior_docs": gibbs_posterior_docs,
+    "lda_phi_terms": lda_phi_terms,
+    "lasso_union": lasso_union,
+    "own_steps_tokens": own_steps_tokens,
     "lda_sweep": lda_sweep,
     "composition_errors": composition_errors,
     "exported_corpus": exported_corpus,

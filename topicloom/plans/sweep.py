@@ -68,7 +68,7 @@ def sweep_topics(
     """Fit every ``k``, classify its compositions, and pick the ``k`` of lowest test error.
 
     Documents without a word are left out and reported; one split serves all runs. The runs
-    are submitted from a few driver threads and share the cached vectors. A run that fails
+    are submitted from a few driver threads and share the prepared table. A run that fails
     is recorded and skipped.
     """
     if not isinstance(dtm, Dtm):
@@ -77,11 +77,10 @@ def sweep_topics(
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     require_columns(classes, "doc_id", "label", what="classes")
     data: TopicInput = prepare(dtm)
-    labelled = data.features.select("doc_id").join(
+    labelled = data.cells.select("doc_id").join(
         classes.select("doc_id", F.col("label").cast("string").alias("label")), "doc_id"
     )
     split = stash(stratified_split(labelled, DEFAULT_SEED), "split")
-    data.features.persist()
     spark = split.sparkSession
 
     def run(k: int):
@@ -96,10 +95,7 @@ def sweep_topics(
             return k, None, None, time.time() - start, f"{type(failure).__name__}: {failure}"
         return k, model, found, seconds, None
 
-    try:
-        outcomes = in_threads(spark, [lambda k=k: run(k) for k in ks], parallelism)
-    finally:
-        data.features.unpersist()
+    outcomes = in_threads(spark, [lambda k=k: run(k) for k in ks], parallelism)
 
     names = ("e0_train", "e1_train", "e2_train", "e0_test", "e1_test", "e2_test")
     records = [

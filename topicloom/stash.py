@@ -64,6 +64,14 @@ def stash(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataF
     return table
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stash that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def row_count(df: DataFrame) -> int:
     """Number of rows; counted once for a stash, from its file footers."""
     if df not in _stashed_rows:
