@@ -456,7 +456,7 @@ def lasso_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reduce_dtm(
         base(spark, sf_dir).stashed(), "lognet", classes=lang_labels(spark, sf_dir), seed=123, options=PATH
     )
-    return found.reduced.vocabulary.select("term").unionByName(found.discarded.select("term"))
+    return found.reduced.vocabulary.select("term").unionByName(found.result.discarded.select("term"))
 
 
 def own_steps_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
