@@ -469,6 +469,27 @@ def test_language_is_read_from_text_and_context(spark):
     assert all(r.accepted == (r.predicted != "und") and 0 < r.posterior <= 1 for r in got if r.record.doc_id is not None)
 
 
+def test_language_of_few_rows_keeps_its_model(spark):
+    """Seven rows of Dutch are 0.2 % of the corpus; a made-up code of as many rows gets no model."""
+    rng = random.Random(13)
+    dutch = "het een van niet zijn voor maar ook wij hebben naar deze uit wordt gewoon schrijven".split()
+
+    def said(words, n=40):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    rows = []
+    for k in range(3500):
+        lang = rng.choice(list(LANGUAGES))
+        rows.append((k, said(LANGUAGES[lang]), lang, f"www.{lang}{k % 3}.{lang}", lang))
+    rows += [(4000 + k, said(dutch), "nl" if k < 7 else None, "www.nl1.nl", "nl") for k in range(8)]
+    rows += [(4100 + k, said(LANGUAGES["en"]), "qqx", "www.en1.en", "en") for k in range(7)]
+    rows += [(4200 + k, said("ΑΒΓΔΕ ζηθικ λμνξο πρστυ φχψω".split()), None, None, "und") for k in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, predicted string")
+    got = language_id.identify_languages(table).collect()
+    assert len(got) == len(rows)
+    assert not [r for r in got if r.record.predicted != r.predicted or r.accepted != (r.predicted != "und")]
+
+
 def test_language_without_labels_or_rows(spark):
     schema = "doc_id long, text string, lang string, source string"
     got = language_id.identify_languages(spark.createDataFrame([(1, "abc", None, None)], schema)).collect()
