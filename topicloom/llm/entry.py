@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, pieces, sharding, token_counts, toxicity, url_filters
+from topicloom.llm import (
+    chat,
+    codes,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dedup,
+    pieces,
+    sharding,
+    token_counts,
+    toxicity,
+    url_filters,
+    whitening,
+)
+from topicloom.llm.sql import codes_sql, mixing_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +92,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    planned = mixing.plan_copies(mixing.prepare(documents, keep_rows=False))
+    return planned.select("record.doc_id", "size", "source_size", "target", "taken", "expected", "copies")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +119,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_minhash_near_dedup,
         op10_language_id,
+        op11_source_mixing,
+        op12_embedding_whitening,
+        op13_vector_codes,
     )
 }
 
@@ -163,4 +195,6 @@ SQL = {
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
            doc_id = max(doc_id) OVER w AS kept, text_sha256
     FROM hashed WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_source_mixing": mixing_sql(),
+    "op13_vector_codes": codes_sql(),
 }
