@@ -41,7 +41,7 @@ class Settings:
     most: int = 3
     phases: tuple[int, ...] = (2, 4, 8, 12, 14)
     seed: int = 11
-    rows_per_cell: int = 200_000
+    rows_per_cell: int = 500
 
 
 def word_count(text: Column | str) -> Column:
