@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators import lasso
+from topicloom.operators import lasso, newton
 from topicloom.operators.evaluate import cv_summary
 from topicloom.operators.topics import ilr_coordinates
 from topicloom.schema import require_columns
@@ -52,61 +51,70 @@ def classify_compositions(
     labels = split.select("doc_id", F.col("label").cast("string").alias("label"), "is_train")
     coordinates = ilr_coordinates(posteriors.select("doc_id", "p")).select("doc_id", "z")
     joined = stash(coordinates.join(labels, "doc_id"), "coordinates")
-    indexed, levels = lasso.index_labels(joined)
-    rows = indexed.withColumn("features", array_to_vector("z"))
-    train = rows.where("is_train").persist()
-    test = rows.where(~F.col("is_train"))
-    try:
-        long = joined.where("is_train").select("doc_id", F.posexplode("z").alias("coord", "z"))
-        kept = joined.where("is_train").select("doc_id", "label")
-        largest = lasso.lambda_max(long, kept, column="coord", value="z").first()
-        if largest is None:
-            raise ValueError("no coordinate varies over the train documents")
-        n_columns = joined.select(F.size("z")).first()[0]
-        lambdas = lasso.lambda_path(largest["lambda_max"], train.count(), n_columns, options.n_lambda)
-
-        fit0 = lasso.fit_by_train_error(train, test, lambdas, levels, options)
-        fit1 = lasso.fit_by_cv(train, test, lambdas, levels, "lambda_1se", CV_SEED, options)
-        errors = {
-            "e0_train": fit0.err_train,
-            "e1_train": fit1.err_train,
-            "e2_train": None,
-            "e0_test": fit0.err_test,
-            "e1_test": fit1.err_test,
-            "e2_test": None,
-        }
-        confusion = {"cm0": fit0.confusion, "cm1": fit1.confusion}
-        if repeated_cv:
-            errors["e2_train"], errors["e2_test"], confusion["cm2"] = elastic_net_grid(
-                train, test, lambdas, levels, options, repeats, alphas
-            )
-    finally:
-        train.unpersist()
+    long = joined.select("doc_id", F.posexplode("z").alias("coord", "weight"))
+    # Positions in front keep the order of coordinates in that of the names.
+    long = long.select("doc_id", F.format_string("%05d", "coord").alias("term"), "weight")
+    data = lasso.path_data(long, joined.select("doc_id", "label", "is_train"))
+
+    fit0 = lasso.fit_by_train_error(data, options)
+    fit1 = lasso.fit_by_cv(data, "lambda_1se", CV_SEED, options)
+    errors = {
+        "e0_train": fit0.err_train,
+        "e1_train": fit1.err_train,
+        "e2_train": None,
+        "e0_test": fit0.err_test,
+        "e1_test": fit1.err_test,
+        "e2_test": None,
+    }
+    confusion = {"cm0": fit0.confusion, "cm1": fit1.confusion}
+    if repeated_cv:
+        grid = elastic_net_grid(data, fit0.lambdas, options, repeats, alphas)
+        errors["e2_train"], errors["e2_test"], confusion["cm2"] = grid.error, grid.err_test, grid.confusion
     return CompositionErrors(errors, confusion)
 
 
+@dataclass(frozen=True)
+class GridFit:
+    """The winning pair of an alpha x lambda grid; ``cells`` has the mean accuracy of every pair."""
+
+    alpha: float
+    lam: float
+    error: float
+    err_test: float | None
+    confusion: DataFrame
+    cells: DataFrame
+    passes: int
+    converged: bool
+
+
 def elastic_net_grid(
-    train: DataFrame, test: DataFrame, lambdas, levels, options: lasso.PathOptions, repeats: int, alphas
-) -> tuple[float, float | None, DataFrame]:
-    """Repeated cross-validation over alpha x lambda: train error, test error, confusion.
+    data: lasso.PathData,
+    lambdas: tuple[float, ...],
+    options: lasso.PathOptions = lasso.PathOptions(),
+    repeats: int = REPEATS,
+    alphas: tuple[float, ...] = ALPHAS,
+) -> GridFit:
+    """Repeated cross-validation over alpha x lambda: the pair of highest mean accuracy over all resamples.
 
-    Each repeat draws new folds. The pair of highest mean accuracy over all resamples wins;
-    ties go to the larger lambda, then the smaller alpha, the simpler model.
+    Each repeat draws new folds; the models of all repeats and folds of an alpha go along the path together. Resamples
+    count alike, whatever their size. Ties go to the larger lambda, then the smaller alpha, the simpler model.
     """
-    best = None
+    spark = data.table.sparkSession
+    best, cells, passes, converged = None, None, 0, True
     for alpha in alphas:
         setting = replace(options, alpha=alpha)
-        cells = None
-        for repeat in range(repeats):
-            part = lasso.cv_errors(train, lambdas, CV_SEED + repeat, setting)
-            part = part.withColumn("fold", F.col("fold") + F.lit(repeat * options.folds))
-            cells = part if cells is None else cells.unionByName(part)
-        # Resamples count alike, whatever their size.
-        summary = cv_summary(cells.drop("n")).orderBy("cvm", F.desc("lambda")).first()
-        found = (summary["cvm"], -summary["lambda"], alpha)
-        best = found if best is None else min(best, found)
-    error, negative, alpha = best
-    lr = lasso.estimator(replace(options, alpha=alpha))
-    model = lr.fit(train, {lr.regParam: -negative})
-    err_test, confusion = lasso.evaluated(model, test, levels)
-    return error, err_test, confusion
+        with lasso.fitting_rows(data, [CV_SEED + r for r in range(repeats)], options.folds) as rows:
+            steps = list(newton.solve_path(rows, lasso.path_rule(data, setting, lambdas)))
+            found = spark.createDataFrame(lasso.held_out_errors(rows, steps, options.folds), lasso.CELLS)
+        summary = stash(cv_summary(found.drop("n")).withColumn("alpha", F.lit(alpha)), "grid")
+        cells = summary if cells is None else cells.unionByName(summary)
+        top = summary.orderBy("cvm", F.desc("lambda")).first()
+        passes, converged = passes + sum(s.passes for s in steps), converged and all(s.converged for s in steps)
+        model = next(s.models[0] for s in steps if s.lam == top["lambda"])
+        ranked = (top["cvm"], -top["lambda"], alpha)
+        if best is None or ranked < best[0]:
+            best = ranked, model
+    (error, negative, alpha), sparse = best
+    err_test, confusion = lasso.evaluated(lasso.PathModel(data, sparse))
+    accuracy = cells.select("alpha", "lambda", (F.lit(1.0) - F.col("cvm")).alias("accuracy"), "cvsd")
+    return GridFit(alpha, -negative, error, err_test, confusion, accuracy, passes, converged)

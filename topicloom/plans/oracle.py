@@ -258,6 +258,14 @@ def oracle() -> dict[str, str]:
         + """ SELECT t::INTEGER AS topic, (SELECT count(*) FROM voc) AS n_terms, 1.0::DOUBLE AS total
             FROM range(4) r(t)""",
         "lasso_union": base + " SELECT term FROM voc",
+        # Terms that vary over the train rows, none of which may break the condition.
+        "lasso_optimality": base
+        + """, rk AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
+                ORDER BY md5('123:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+            train AS (SELECT doc_id, lang FROM rk WHERE r <= ceil(0.75 * n)),
+            seen AS (SELECT DISTINCT term FROM ent WHERE doc_id IN (SELECT doc_id FROM train))
+            SELECT lang AS label, (SELECT count(*) FROM seen) AS n_terms, 0::BIGINT AS broken, 1 AS any_kept
+            FROM train GROUP BY lang""",
         "own_steps_tokens": r"""SELECT doc_id, term, count(*) AS tf FROM (
             SELECT doc_id, unnest(string_split(trim(replace(regexp_replace(lower(text),
                 '[\p{P}\p{S}\p{Z}\p{Cc}]+', ' ', 'g'), 'z', '')), ' ')) AS term FROM documents)

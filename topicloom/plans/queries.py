@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as text_fn
@@ -386,8 +386,8 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- models -------------------------------------------------------------------------------
 
-# Paths and chains shorter than the library's defaults; every fit still sees all rows and terms.
-PATH = PathOptions(n_lambda=4, folds=3, max_iter=40)
+# Compositions of many classes need nearly every coordinate of every class, so their paths are the slow ones.
+COMPOSITION_PATH = PathOptions(n_lambda=4, folds=3)
 CHAIN = LdaOptions(gibbs=GibbsOptions(burnin=20, iterations=30, thin=10))
 
 
@@ -397,28 +397,60 @@ def lambda_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("lambda_max", rounded("lambda_max"))
 
 
+def lasso_reduction(spark: SparkSession, sf_dir: str, method: str):
+    return reduce_dtm(
+        base(spark, sf_dir).stashed(), method, classes=lang_labels(spark, sf_dir), rule="lambda_1se", seed=123
+    ).result
+
+
 def lasso_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms per class from the path's best train error, after a cut by the tf-idf band."""
-    reduction = reduce_dtm(
-        reduce_by_tfidf(base(spark, sf_dir)).reduced.stashed(),
-        "lognet",
-        classes=lang_labels(spark, sf_dir),
-        seed=123,
-        options=PATH,
-    )
-    return reduction.result.terms_by_class
+    """Terms per class from the best train error over the whole path."""
+    return lasso_reduction(spark, sf_dir, "lognet").terms_by_class
 
 
 def lasso_cv_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reduction = reduce_dtm(
-        base(spark, sf_dir).stashed(),
-        "lognet_cv",
-        classes=lang_labels(spark, sf_dir),
-        rule="lambda_1se",
-        seed=123,
-        options=PATH,
+    """Terms per class by ten-fold cross-validation over the whole path."""
+    return lasso_reduction(spark, sf_dir, "lognet_cv").terms_by_class
+
+
+def lasso_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class: terms that vary over the train rows, and how many break the optimality condition of the chosen fit.
+
+    Recomputed from the coefficients as a user gets them, in built-in functions: probabilities from joined sums, then the
+    gradient of every term, which at zero may not exceed the penalty and elsewhere must equal it.
+    """
+    matrix, labels = base(spark, sf_dir).stashed(), lang_labels(spark, sf_dir)
+    found = reduce_dtm(matrix, "lognet", classes=labels, seed=123).result
+    train = stash(found.split.where("is_train").select("doc_id", "label"), "train")
+    weights = stash(tfidf_weights(matrix).join(train.select("doc_id"), "doc_id"), "train-weights")
+    bases = stash(found.fit.model.intercepts(), "intercepts")
+    n = train.count()
+
+    terms = found.terms_by_class.withColumnRenamed("label", "class")
+    scores = weights.join(broadcast_if_small(stash(terms, "coefficients")), "term")
+    scores = scores.groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("coef")).alias("score"))
+    grid = train.select("doc_id", "label", F.lit(1).alias("one")).join(
+        F.broadcast(bases.select(F.col("label").alias("class"), "intercept", F.lit(1).alias("one"))), "one"
+    )
+    raised = grid.join(scores, ["doc_id", "class"], "left").select(
+        "doc_id", "label", "class", F.exp(F.col("intercept") + F.coalesce("score", F.lit(0.0))).alias("e")
+    )
+    share = F.col("e") / F.sum("e").over(Window.partitionBy("doc_id"))
+    rest = raised.select("doc_id", "class", (share - (F.col("label") == F.col("class")).cast("double")).alias("rest"))
+    rest = stash(rest, "rests")
+
+    moments = lasso.column_moments(weights, train, "term", "weight").select("term", "sd")
+    slopes = weights.join(rest, "doc_id").groupBy("term", "class").agg(
+        (F.sum(F.col("weight") * F.col("rest")) / F.lit(float(n))).alias("slope")
+    )
+    joined = slopes.join(moments, "term").join(terms, ["term", "class"], "left")
+    penalty = found.fit.chosen
+    slope, coef = F.col("slope") / F.col("sd"), F.coalesce("coef", F.lit(0.0))
+    slack = 1e-3 * penalty
+    broken = F.when(coef == 0, F.abs(slope) > penalty + slack).otherwise(F.abs(slope + F.signum(coef) * penalty) > slack)
+    return joined.groupBy(F.col("class").alias("label")).agg(
+        F.count("*").alias("n_terms"), F.count_if(broken).alias("broken"), F.max((coef != 0).cast("int")).alias("any_kept")
     )
-    return reduction.result.terms_by_class
 
 
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,10 +485,8 @@ def lda_phi_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lasso_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that the lasso keeps and terms that it discards, together the vocabulary it was given."""
-    found = reduce_dtm(
-        base(spark, sf_dir).stashed(), "lognet", classes=lang_labels(spark, sf_dir), seed=123, options=PATH
-    )
-    return found.reduced.vocabulary.select("term").unionByName(found.result.discarded.select("term"))
+    found = lasso_reduction(spark, sf_dir, "lognet")
+    return found.reduced.vocabulary.select("term").unionByName(found.discarded.select("term"))
 
 
 def own_steps_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,17 +501,18 @@ def gibbs_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = PathOptions(n_lambda=3, folds=2, max_iter=25)
-    found = sweep_topics(
-        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=short
-    )
+    found = sweep_topics(base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=COMPOSITION_PATH)
     return found.runs.drop("fit_seconds")
 
 
-def composition_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return split.stratified_split(labels, 123)
+
+
+def composition_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify_compositions(
-        embedding_parts(spark, sf_dir), split.stratified_split(labels, 123), options=PATH
+        embedding_parts(spark, sf_dir), embedding_split(spark, sf_dir), options=COMPOSITION_PATH
     )
     rows = [(name, error) for name, error in found.errors.items()]
     return spark.createDataFrame(rows, "name string, error double")
@@ -559,6 +590,7 @@ QUERIES: dict[str, Query] = {
     "lambda_max": lambda_max,
     "lasso_terms": lasso_terms,
     "lasso_cv_terms": lasso_cv_terms,
+    "lasso_optimality": lasso_optimality,
     "lda_topics": lda_topics,
     "lda_fixed_alpha_topics": lda_fixed_alpha_topics,
     "gibbs_topics": gibbs_topics,

@@ -44,7 +44,7 @@ def export_reduction(result, out_dir: str) -> None:
     result.terms_by_class.write.parquet(f"{out_dir}/terms_by_class")
     result.fit.table.write.parquet(f"{out_dir}/path")
     result.confusion.write.parquet(f"{out_dir}/confusion")
-    result.fit.model.write().save(f"{out_dir}/model")
+    result.fit.model.intercepts().write.parquet(f"{out_dir}/intercepts")
     row = [(result.fit.chosen, result.err_train, result.err_test, result.seed)]
     schema = "lambda double, err_train double, err_test double, seed long"
     result.split.sparkSession.createDataFrame(row, schema).write.json(f"{out_dir}/errors")
