@@ -289,6 +289,22 @@ def test_shards_of_nothing_and_of_little(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
 
 
+def test_ordinal_fit_is_the_penalised_optimum():
+    """No cap on features, and a stationary point: every slope of the likelihood is matched by its penalty."""
+    rng = np.random.default_rng(3)
+    grade = rng.integers(0, 3, 900)
+    x = rng.random((900, 700)) < np.where(np.arange(700) < 600, 0.05 + 0.25 * (grade[:, None] == 2), 0.1)
+    row, feature = np.nonzero(x)
+    settings = toxicity.Settings(ridge=1e-3)
+    chosen = toxicity.choose_features(row, feature, grade, settings)
+    assert chosen.size > 512
+    model = toxicity.fit_ordinal(row, feature, grade, settings)
+    above = np.concatenate((np.ones((900, 1)), model.at_least(x.astype(float) @ model.weights[:700]), np.zeros((900, 1))), axis=1)
+    rest = 1 - above[np.arange(900), grade] - above[np.arange(900), grade + 1]
+    slope = x[:, chosen].T @ rest / 900 - settings.ridge * model.weights[chosen]
+    assert np.abs(slope).max() < 1e-3
+
+
 # --- 7: decontamination --------------------------------------------------------------------
 
 
@@ -326,10 +342,73 @@ def test_empty_benchmark_and_empty_table(spark):
     assert decontaminate.find_contamination(docs(spark, []), bench).count() == 0
 
 
+def test_short_items_are_matched_word_for_word(spark):
+    items = [(1, "What is the capital of France?"), (2, "capital of Spain"), (3, "yes"), (4, "capital of france"), (5, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "Quiz: what is the CAPITAL of france, please"),
+        (2, "the capital, of: Spain"),
+        (3, "yes"),
+        (4, "yes indeed"),
+        (5, "what is the best capital of large france"),
+        (6, "capital of"),
+        (7, "spain capital of"),
+        (8, "no " * 30 + "capital of france"),
+    ]
+    got = decontaminate.find_contamination(docs(spark, rows), bench).collect()
+    found = {r.record.doc_id: (r.item_id, r.share, r.cosine) for r in got if r.contaminated}
+    assert {k: v[0] for k, v in found.items()} == {1: 1, 2: 2, 3: 3, 8: 4}
+    assert {v[1:] for v in found.values()} == {(1.0, 1.0)}
+
+
+def test_equal_shares_go_to_the_first_item(spark):
+    rng = random.Random(9)
+    long, short = prose(rng, 60), prose(rng, 12)
+    rows = [(1, f"{long} {prose(rng, 40)} {short}"), (2, f"{short} {prose(rng, 40)} {long}"), (3, prose(rng, 90))]
+    for order in ([(1, long), (2, short)], [(1, short), (2, long)]):
+        bench = spark.createDataFrame(order + [(k, prose(rng, 30)) for k in range(10, 40)], "item_id long, text string")
+        for block in (1, 2000):
+            got = decontaminate.find_contamination(docs(spark, rows), bench, decontaminate.Settings(block=block)).collect()
+            assert {r.record.doc_id: (r.item_id, r.share) for r in got if r.contaminated} == {1: (1, 1.0), 2: (1, 1.0)}
+
+
+def test_verdicts_and_recall_do_not_depend_on_blocks(spark):
+    """Paraphrases with a share of their words replaced; the whole benchmark gives one basis."""
+    rng = random.Random(10)
+    items = [(k, prose(rng, rng.randrange(20, 60))) for k in range(80)]
+    rows, shares = [], {}
+    for k in range(240):
+        words = prose(rng, rng.randrange(30, 200)).split()
+        if k % 4:
+            share = (0.1, 0.2, 0.3)[k % 4 - 1]
+            part = [w if rng.random() > share else rng.choice(WORDS) for w in rng.choice(items)[1].split()]
+            at = rng.randrange(len(words))
+            words, shares[k] = words[:at] + part + words[at:], share
+        rows.append((k, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for block in (10, 2000):
+        got = decontaminate.find_contamination(docs(spark, rows), bench, decontaminate.Settings(block=block)).collect()
+        seen.append(sorted((r.record.doc_id, r.item_id or -1, r.share or 0.0, r.cosine or 0.0) for r in got))
+    assert [r[:3] for r in seen[0]] == [r[:3] for r in seen[1]]
+    assert np.allclose([r[3] for r in seen[0]], [r[3] for r in seen[1]], atol=1e-4)  # single precision
+    found = {doc for doc, item, *_ in seen[0] if item >= 0}
+    assert not {k for k in found if k % 4 == 0}
+    for share, least in ((0.1, 0.95), (0.2, 0.9)):
+        planted = {k for k, v in shares.items() if v == share}
+        assert len(found & planted) >= least * len(planted)
+
+
+def test_a_benchmark_beyond_its_bound_is_refused(spark):
+    bench = spark.createDataFrame([(1, "word " * 50)], "item_id long, text string")
+    with pytest.raises(ValueError, match="at most 100"):
+        decontaminate.find_contamination(docs(spark, []), bench, decontaminate.Settings(max_bytes=100))
+
+
 def test_common_subsequence_equals_the_table():
     rng = random.Random(8)
     items = decontaminate.Items([0], [np.array([rng.randrange(6) for _ in range(70)], np.uint64)], np.arange(6, dtype=np.uint64))
-    judge = decontaminate.Judge(items, np.ones(6), np.eye(6, dtype=np.float32), decontaminate.Settings())
+    judge = decontaminate.Judge(items, np.ones(7), np.eye(6, dtype=np.float32), decontaminate.Settings())
     for _ in range(20):
         window = [rng.randrange(8) for _ in range(rng.randrange(90))]
         row = [0] * 71

@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. TF-IDF over passages of all documents, with the benchmark's words as terms: no other
-   word can bring a passage closer to an item, it only adds to the passage's length.
+   word can bring a passage closer to an item. All others count as one more term in the passage's length.
 2. A randomised SVD: every task multiplies its passages with the same random matrix
    and back (``A'A`` times it), partial products are summed in Spark, and the small
    result gives the leading right singular vectors (Nystroem's formula).
@@ -9,9 +9,10 @@
    of that size finds candidates.
 4. A candidate is confirmed by the longest common subsequence of words with the item, which a
    paraphrase keeps for the most part, and by the item's answer words, its rarest ones.
+5. Items too short for that are found by an exact match of their words, one after the other.
 
-Scoring is row by row against a model whose size the block of items bounds, so documents
-are never shuffled. Larger benchmarks are worked off in blocks.
+Scoring is row by row against a model of the whole benchmark, whose size is checked, so documents
+are never shuffled. Terms, weights and basis are those of all items; only the scoring goes by blocks of items.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import NOT_LETTER, Words, split_words, text_slices
+from topicloom.llm.common import NOT_LETTER, Words, mix, split_words, text_slices
 
 
 TERM_BLOCK = 64  # terms whose partial products travel as one row
@@ -38,8 +39,9 @@ class Settings:
     """``passage`` words make a passage; ``rank`` latent dimensions; ``cosine`` finds candidates.
 
     A leak has ``share`` of an item's words in order and ``answers`` of its ``answer_words``
-    rarest words. Items of fewer than ``min_words`` words are no evidence and are skipped.
-    ``block`` items are one pass over the documents.
+    rarest words. Items of fewer than ``min_words`` words must stand in the document word for word, and those
+    of fewer than ``phrase_words`` must be the whole document. A benchmark may have ``max_bytes`` of text;
+    ``block`` items are scored at a time.
     """
 
     passage: int = 64
@@ -50,17 +52,23 @@ class Settings:
     answer_words: int = 6
     answers: float = 0.5
     min_words: int = 8
+    phrase_words: int = 3
+    max_bytes: int = 64 << 20
     block: int = 2_000
 
 
 @dataclass
 class Items:
-    """Items of a block: ids, word hashes, and the sorted distinct hashes as terms."""
+    """Items in order of their ids: ids, word hashes, and the sorted distinct hashes of all items as terms."""
 
     ids: list
     words: list[np.ndarray]
     terms: np.ndarray
 
+    def blocks(self, size: int) -> Iterator[Items]:
+        for lo in range(0, len(self.ids), size):
+            yield Items(self.ids[lo : lo + size], self.words[lo : lo + size], self.terms)
+
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each hash, or -1."""
         if not self.terms.size:
@@ -73,14 +81,15 @@ def bare_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return split_words(data, offsets, NOT_LETTER)
 
 
-def read_items(rows: list, settings: Settings) -> Items:
+def read_items(rows: list) -> Items:
+    """Items with at least one word."""
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0], r[1]))
     ids, words = [], []
     for lo, hi, data, offsets in text_slices(pa.array([r[1] for r in rows], pa.string())):
         found = bare_words(data, offsets)
         for k in range(hi - lo):
             own = found.hashes[found.doc == k]
-            if own.size >= settings.min_words:
+            if own.size:
                 ids.append(rows[lo + k][0])
                 words.append(own)
     terms = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
@@ -96,11 +105,11 @@ def _passages(found: Words, size: int) -> np.ndarray:
 
 
 def term_counts(docs: DataFrame, items: Items, settings: Settings) -> tuple[int, np.ndarray]:
-    """Number of passages, and of passages per term; the rest of the words count as one term."""
+    """Number of passages, and of passages per term; the last term is that of all other words."""
     n_terms = items.terms.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n_terms + 1, np.int64)  # the last one: passages
+        counts = np.zeros(n_terms + 2, np.int64)  # the last two: other words, passages
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 found = bare_words(data, offsets)
@@ -110,11 +119,12 @@ def term_counts(docs: DataFrame, items: Items, settings: Settings) -> tuple[int,
                 counts[-1] += passage[-1] + 1
                 known = term >= 0
                 pairs = np.unique(passage[known] * n_terms + term[known])
-                counts[:-1] += np.bincount(pairs % max(1, n_terms), minlength=n_terms)
+                counts[:-2] += np.bincount(pairs % max(1, n_terms), minlength=n_terms)
+                counts[-2] += np.unique(passage[~known]).size
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["term", "n"])
 
-    counts = np.zeros(n_terms + 1, np.int64)
+    counts = np.zeros(n_terms + 2, np.int64)
     summed = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n"))
     for term, n in summed.collect():  # one row per benchmark term
         counts[term] = n
@@ -122,13 +132,20 @@ def term_counts(docs: DataFrame, items: Items, settings: Settings) -> tuple[int,
 
 
 def _weights(passage: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nonzeros of the TF-IDF rows ``(row, term, weight)``, each row of length 1."""
-    pairs, tf = np.unique(passage * idf.size + term, return_counts=True)
+    """Nonzeros of the TF-IDF rows ``(row, term, weight)``, each row of length 1 with its other words.
+
+    Term -1 is that of other words; the last ``idf`` is its own. It adds to the length only.
+    """
+    n_terms = idf.size - 1
+    pairs, tf = np.unique(passage * idf.size + np.where(term < 0, n_terms, term), return_counts=True)
     row, term = pairs // idf.size, pairs % idf.size
     weight = (1 + np.log(tf)) * idf[term]
     _, at = np.unique(row, return_inverse=True)
     length = np.sqrt(np.bincount(at, weight**2))
-    return at, term, (weight / np.maximum(length[at], 1e-9)).astype(np.float32)
+    weight = weight / np.maximum(length[at], 1e-9)
+    known = term < n_terms
+    _, at = np.unique(row[known], return_inverse=True)
+    return at, term[known], weight[known].astype(np.float32)
 
 
 def _gram_times(row, term, weight, omega: np.ndarray) -> np.ndarray:
@@ -172,9 +189,10 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Setti
     them no direction. Partial products have the size terms x (rank + extra); they are cut
     into blocks of terms, and a block's parts are summed as they stream by, in two rounds.
     """
-    wide = min(settings.rank + settings.extra, idf.size)
+    n_terms = idf.size - 1
+    wide = min(settings.rank + settings.extra, n_terms)
     rng = np.random.default_rng(11)
-    omega = rng.standard_normal((idf.size, wide)).astype(np.float32)
+    omega = rng.standard_normal((n_terms, wide)).astype(np.float32)
     size = settings.passage
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +203,8 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Setti
                 if not found.doc.size:
                     continue
                 term = items.index(found.hashes)
-                known = term >= 0
-                if known.any():
-                    row, column, weight = _weights(_passages(found, size)[known], term[known], idf)
+                if (term >= 0).any():
+                    row, column, weight = _weights(_passages(found, size), term, idf)
                     total += _gram_times(row, column, weight, omega)
                     rows += row[-1] + 1
         blocks = [total[k : k + TERM_BLOCK] for k in range(0, len(total), TERM_BLOCK)]
@@ -205,7 +222,7 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, settings: Setti
         parts = parts.repartition(*keys).select("block", "part", *keys[1:])
         parts = parts.mapInArrow(_sum_parts, PARTS + ", salt int" * (len(keys) > 1))
     got = {r[0]: np.array(r[1]) for r in parts.collect()}  # terms x (rank + extra) numbers
-    n_blocks = -(-idf.size // TERM_BLOCK)
+    n_blocks = -(-n_terms // TERM_BLOCK)
     own_row, own_term, own_weight = _weights(
         np.repeat(np.arange(len(items.words)), [w.size for w in items.words]),
         items.index(np.concatenate(items.words)),
@@ -229,9 +246,15 @@ class Judge:
 
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray, settings: Settings):
         self.items, self.settings = items, settings
-        self.vectors = (idf[:, None] * basis).astype(np.float32)
+        self.vectors = (idf[:-1, None] * basis).astype(np.float32)
         self.masks, self.answers, by_size = [], [], defaultdict(list)
+        by_length = defaultdict(list)
         for k, words in enumerate(items.words):
+            if words.size < settings.min_words:
+                by_length[words.size].append(k)
+                self.masks.append({})
+                self.answers.append(words)
+                continue
             mask: dict[int, int] = {}
             for at, word in enumerate(words.tolist()):
                 mask[word] = mask.get(word, 0) | 1 << at
@@ -252,6 +275,13 @@ class Judge:
             least = min(self.needed(k) for k in members)
             self.classes.append((width, max(1, width // 6), np.array(members), latent.astype(np.float32), rare, least))
 
+        # Short items by length: sorted keys of their words, and the first item of each key.
+        self.phrases = []
+        for length, members in sorted(by_length.items()):
+            keys = phrase_keys(np.concatenate([items.words[k] for k in members]), length)[::length]
+            distinct, first = np.unique(keys, return_index=True)
+            self.phrases.append((length, distinct, np.array(members)[first]))
+
     def needed(self, item: int) -> int:
         """Answer words that a window must have."""
         return int(np.ceil(self.settings.answers * len(self.answers[item])))
@@ -286,6 +316,16 @@ class Judge:
         ends = np.append(heads[1:], found.doc.size)
         at_known = np.concatenate(([0], np.cumsum(known)))
         terms = term[known]
+        for length, keys, members in self.phrases:
+            found_keys = phrase_keys(found.hashes, length)
+            at = np.minimum(np.searchsorted(keys, found_keys), keys.size - 1)
+            for begin in np.flatnonzero(keys[at] == found_keys).tolist():
+                doc, item = int(found.doc[begin]), int(members[at[begin]])
+                place = np.searchsorted(heads, begin, "right") - 1
+                whole = heads[place] == begin and ends[place] == begin + length
+                inside = begin + length <= ends[place] and (whole or length >= self.settings.phrase_words)
+                if inside and (found.hashes[begin : begin + length] == self.items.words[item]).all():
+                    best[doc] = max(best[doc], (1.0, -item, item, 1.0)) if best[doc] else (1.0, -item, item, 1.0)
         for width, step, members, latent, rare, least in self.classes:
             answers = np.concatenate(([0], np.cumsum(np.where(known, rare[term], 0))))
             counts = np.maximum(1, -(-(ends - heads - width) // step) + 1)
@@ -307,8 +347,8 @@ class Judge:
                 for w, k in zip(*np.nonzero(cosine >= self.settings.cosine)):
                     item, at = int(members[k]), some[w]
                     doc = int(found.doc[begin[at]])
-                    if best[doc] is not None and best[doc][0] >= 1.0:
-                        continue
+                    if best[doc] is not None and best[doc][:2] >= (1.0, -item):
+                        continue  # nothing can beat it
                     margin = self.items.words[item].size // 4
                     window = found.hashes[max(first[at], begin[at] - margin) : min(last[at], end[at] + margin)]
                     share = self.verdict(item, window)
@@ -317,20 +357,28 @@ class Judge:
         return best
 
 
-def item_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list]:
-    """The benchmark in blocks of about ``settings.block`` items, each small enough for the driver."""
-    n_blocks = max(1, -(-benchmark.count() // settings.block))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    for k in range(n_blocks):
-        yield benchmark.where(block == k).select("item_id", F.lower("text")).collect()
+def phrase_keys(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A key for every run of ``length`` words."""
+    keys = np.zeros(max(0, hashes.size - length + 1), np.uint64)
+    for k, odd in enumerate(mix(np.arange(1, length + 1, dtype=np.uint64)) | np.uint64(1)):
+        keys += hashes[k : k + keys.size] * odd
+    return keys
+
+
+def read_benchmark(benchmark: DataFrame, settings: Settings) -> Items:
+    """The whole benchmark on the driver, once its size is known to fit."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > settings.max_bytes:
+        raise ValueError(f"a benchmark of {size} bytes, at most {settings.max_bytes} are supported")
+    return read_items(benchmark.select("item_id", F.lower("text")).collect())
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``(record, contaminated, item_id, share, cosine)``: each whole row of ``docs`` as a struct.
 
     Case and punctuation make no difference. ``item_id`` is the item with the largest confirmed ``share`` (ties: the first by id),
-    ``cosine`` that of its window; both null for a clean row. Null and empty texts, and items
-    without enough words, match nothing. Repeated rows get equal verdicts. An empty
+    ``cosine`` that of its window, 1 for a short item; both null for a clean row. Null and empty texts, and items
+    without words, match nothing. Repeated rows get equal verdicts. An empty
     benchmark leaves every row clean, an empty table gives an empty result.
     """
     item_type = benchmark.schema["item_id"].dataType
@@ -341,15 +389,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings
         F.lit(None).cast("double").alias("cosine"),
         F.lower("text").alias("text"),
     )
-    texts = docs.select(F.lower("text").alias("text"))
-    for rows in item_blocks(benchmark, settings):
-        items = read_items(rows, settings)
-        if not items.ids:
-            continue
+    items = read_benchmark(benchmark, settings)
+    if items.ids:
+        texts = docs.select(F.lower("text").alias("text"))
         n, counts = term_counts(texts, items, settings)
         idf = np.log((n + 1) / (counts + 1)) + 0.1
         basis = latent_basis(texts, items, idf, settings)
-        out = out.mapInArrow(_scorer(Judge(items, idf, basis, settings)), out.schema)
+        for block in items.blocks(settings.block):
+            out = out.mapInArrow(_scorer(Judge(block, idf, basis, settings)), out.schema)
     return out.select("record", F.col("share").isNotNull().alias("contaminated"), "item_id", "share", "cosine")
 
 
@@ -360,6 +407,7 @@ def _scorer(judge: Judge):
                 part = batch.slice(lo, hi - lo)
                 columns = [part.column(k).to_pylist() for k in (1, 2, 3)]
                 for k, found in enumerate(judge.judge(bare_words(data, offsets), hi - lo)):
+                    # Blocks go by id, so an equal share does not replace that of an earlier block.
                     if found is not None and (columns[1][k] is None or found[0] > columns[1][k]):
                         for column, value in zip(columns, (judge.items.ids[found[2]], found[0], found[3])):
                             column[k] = value

@@ -33,7 +33,7 @@ class Settings:
     """Grades run from 0 to ``top``. ``train_rows`` labelled rows at most are fitted on, those with the smallest id hash.
 
     ``bits`` of feature hash; ``beginnings`` in bytes; a feature needs ``min_rows`` rows and a
-    score of ``min_z`` to enter, and ``max_features`` enter at most; ``ridge`` penalises weights.
+    score of ``min_z`` to enter; ``ridge`` penalises weights.
     """
 
     top: int = 2
@@ -42,7 +42,6 @@ class Settings:
     beginnings: tuple[int, ...] = (4, 5, 6)
     min_rows: int = 4
     min_z: float = 5.0
-    max_features: int = 512
     ridge: float = 5e-5
     steps: int = 60
 
@@ -86,15 +85,33 @@ def choose_features(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, set
         with_bad = np.bincount(feature[bad[row]], minlength=size)
         gap = with_bad / n1 - (with_all - with_bad) / n0
         z = np.maximum(z, np.abs(gap) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
-    good = np.flatnonzero((with_all >= settings.min_rows) & (z >= settings.min_z))
-    return np.sort(good[np.argsort(-z[good], kind="stable")[: settings.max_features]])
+    return np.flatnonzero((with_all >= settings.min_rows) & (z >= settings.min_z))
+
+
+def conjugate_gradients(multiply, right: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Solve ``A x = right`` for a positive definite ``A`` given by its products, scaled by its diagonal."""
+    x = np.zeros_like(right)
+    rest = right.copy()
+    scaled = rest / diagonal
+    along, size = scaled.copy(), float(rest @ scaled)
+    end = 1e-12 * size
+    for _ in range(right.size + 50):
+        if size <= end:
+            break
+        product = multiply(along)
+        pace = size / float(along @ product)
+        x += pace * along
+        rest -= pace * product
+        scaled = rest / diagonal
+        new = float(rest @ scaled)
+        along, size = scaled + new / size * along, new
+    return x
 
 
 def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, settings: Settings) -> OrdinalModel:
-    """Penalised maximum likelihood by Newton steps with halving.
+    """Penalised maximum likelihood by Newton steps with halving; each step is found by conjugate gradients.
 
-    ``row`` and ``feature`` are the nonzeros of a 0/1 matrix (at most ``train_rows`` x
-    ``max_features`` are worked with). With ``a = P(y >= grade)`` and
+    ``row`` and ``feature`` are the nonzeros of a 0/1 matrix, of at most ``train_rows`` rows. With ``a = P(y >= grade)`` and
     ``b = P(y >= grade + 1)`` the log-likelihood has slope ``1 - a - b`` and curvature
     ``a(1 - a) + b(1 - b)`` in the score. Thresholds are kept in order.
     """
@@ -107,12 +124,17 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, setting
         return OrdinalModel(weights, t)
     at = np.minimum(np.searchsorted(chosen, feature), chosen.size - 1)
     ok = chosen[at] == feature
-    x = np.zeros((n, chosen.size))
-    x[row[ok], at[ok]] = 1
+    row, at = row[ok], at[ok]
     w = np.zeros(chosen.size)
 
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, v[at], n)
+
+    def times_back(v: np.ndarray) -> np.ndarray:
+        return np.bincount(at, v[row], chosen.size)
+
     def tails(w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score, edges = x @ w, np.concatenate(([-np.inf], t, [np.inf]))
+        score, edges = times(w), np.concatenate(([-np.inf], t, [np.inf]))
         return tuple(1 / (1 + np.exp(np.clip(edges[grade + k] - score, -50, 50))) for k in (0, 1))
 
     def loss(w: np.ndarray, t: np.ndarray) -> float:
@@ -122,13 +144,15 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, setting
     for _ in range(settings.steps):
         a, b = tails(w, t)
         da, db, inside = a * (1 - a), b * (1 - b), np.maximum(a - b, 1e-12)
-        slope = x.T @ (1 - a - b) / n - settings.ridge * w
-        bend = (x.T * (da + db)) @ x / n + settings.ridge * np.eye(chosen.size)
+        slope = times_back(1 - a - b) / n - settings.ridge * w
+        bend = da + db
         up = np.bincount(grade, da / inside, top + 1)[1:]
         down = np.bincount(grade, db / inside, top + 1)[:-1]
         curve = np.bincount(grade, da, top + 1)[1:] + np.bincount(grade, db, top + 1)[:-1]
         step = ((down - up) / n - settings.ridge * t) / (curve / n + settings.ridge)
-        moves = (np.linalg.solve(bend, slope), 0 * t), (0 * w, np.clip(step, -1, 1))
+        diagonal = times_back(bend) / n + settings.ridge
+        move = conjugate_gradients(lambda v: times_back(bend * times(v)) / n + settings.ridge * v, slope, diagonal)
+        moves = (move, 0 * t), (0 * w, np.clip(step, -1, 1))
         before = best = loss(w, t)
         for dw, dt in moves:
             pace = 1.0
@@ -156,8 +180,10 @@ def training_rows(docs: DataFrame, graded: DataFrame, settings: Settings) -> Dat
     )
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # Rows repeated under one id would lift the bound.
-    return picked.groupBy("doc_id").agg(F.first("grade").alias("grade"), F.first("text").alias("text"))
+    # Rows repeated under one id would lift the bound; the choice must not depend on their order.
+    return picked.groupBy("doc_id").agg(
+        F.max("grade").alias("grade"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
 
 
 def train(docs: DataFrame, graded: DataFrame, settings: Settings) -> OrdinalModel:
