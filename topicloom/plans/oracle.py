@@ -257,6 +257,8 @@ def oracle() -> dict[str, str]:
         "lda_phi_terms": base
         + """ SELECT t::INTEGER AS topic, (SELECT count(*) FROM voc) AS n_terms, 1.0::DOUBLE AS total
             FROM range(4) r(t)""",
+        "lda_bounds": """SELECT method, true AS converged, 0::BIGINT AS n_fell, true AS several
+            FROM (VALUES ('VEM'), ('VEM_fixed')) v(method)""",
         "lasso_union": base + " SELECT term FROM voc",
         # Terms that vary over the train rows, none of which may break the condition.
         "lasso_optimality": base

@@ -463,6 +463,20 @@ def lda_fixed_alpha_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.top_terms(fit_lda(data, 4, "VEM_fixed").phi)
 
 
+def lda_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per method: whether the fit converged, and iterations whose bound on the log-likelihood fell."""
+    data, rows = prepare(base(spark, sf_dir)), []
+    for method in ("VEM", "VEM_fixed"):
+        record = fit_lda(data, 4, method).record
+        rows += [(method, record.converged, *step) for step in record.iterations]
+    steps = spark.createDataFrame(rows, "method string, converged boolean, iteration int, bound double, alpha double")
+    before = F.lag("bound").over(Window.partitionBy("method").orderBy("iteration"))
+    fell = F.col("bound") < before - 1e-6 * F.abs(before)
+    return steps.withColumn("fell", fell).groupBy("method", "converged").agg(
+        F.count_if("fell").alias("n_fell"), (F.count("*") > 1).alias("several")
+    )
+
+
 def posterior_sums(posteriors: DataFrame) -> DataFrame:
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
     return posteriors.select("doc_id", F.round(total, 6).alias("total"))
@@ -593,6 +607,7 @@ QUERIES: dict[str, Query] = {
     "lasso_optimality": lasso_optimality,
     "lda_topics": lda_topics,
     "lda_fixed_alpha_topics": lda_fixed_alpha_topics,
+    "lda_bounds": lda_bounds,
     "gibbs_topics": gibbs_topics,
     "lda_posterior_docs": lda_posterior_docs,
     "gibbs_posterior_docs": gibbs_posterior_docs,

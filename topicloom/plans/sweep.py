@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from topicloom.stash import stash
 
 RECORD = (
     "k int, fit_seconds double, e0_train double, e1_train double, e2_train double, "
-    "e0_test double, e1_test double, e2_test double, error string"
+    "e0_test double, e1_test double, e2_test double, error string, iterations int, converged boolean"
 )
 
 
@@ -53,6 +53,12 @@ def topic_counts(first: int = 2, last: int = 2, step: int = 1) -> list[int]:
     return list(range(first, last + 1, step))
 
 
+def how_it_ended(model: TopicModel | None) -> tuple[int | None, bool | None]:
+    """Iterations of a variational fit, and whether it converged."""
+    record = model.record if model is not None else None
+    return (len(record.iterations), record.converged) if record else (None, None)
+
+
 def sweep_topics(
     dtm: Dtm,
     classes: DataFrame,
@@ -88,7 +94,7 @@ def sweep_topics(
         try:
             model = fit(data, k, method, options=lda)
             posteriors = stash(model.posteriors, "posteriors")
-            model = TopicModel(k, method, posteriors, model.phi, model.model)
+            model = replace(model, posteriors=posteriors)
             seconds = time.time() - start
             found = classify_compositions(posteriors, split, repeated_cv, options)
         except Exception as failure:  # a failing k must not stop the others
@@ -99,13 +105,13 @@ def sweep_topics(
 
     names = ("e0_train", "e1_train", "e2_train", "e0_test", "e1_test", "e2_test")
     records = [
-        (k, seconds, *(found.errors[name] if found else None for name in names), failure)
-        for k, _, found, seconds, failure in outcomes
+        (k, seconds, *(found.errors[name] if found else None for name in names), failure, *how_it_ended(model))
+        for k, model, found, seconds, failure in outcomes
     ]
     runs = spark.createDataFrame(records, RECORD)
     winner = best_k(runs).first()
     if winner is None:
-        raise RuntimeError("every k failed: " + "; ".join(str(r[-1]) for r in records))
+        raise RuntimeError("every k failed: " + "; ".join(str(r[-3]) for r in records))
     models = {k: model for k, model, *_ in outcomes if model is not None}
     result = Sweep(
         kind=dtm.kind,
