@@ -99,6 +99,20 @@ def test_confusion_is_a_full_square(spark):
     assert rates["b"].pos_pred_value is None
 
 
+def test_rates_from_occurring_cells_equal_those_of_the_square(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "b"), ("a", "a"), ("d", "d")], "pred string, truth string")
+    sparse, square = evaluate.confusion_cells(rows), evaluate.confusion_table(rows)
+    assert sparse.count() == 4 and square.count() == 16
+    assert sorted(evaluate.class_stats(sparse).collect()) == sorted(evaluate.class_stats(square).collect())
+    assert evaluate.overall_stats(sparse).collect() == evaluate.overall_stats(square).collect()
+
+
+def test_rates_of_very_many_labels(spark):
+    rows = spark.range(200_000).selectExpr("id % 100000 AS truth", "(id + id div 100000) % 100000 AS pred")
+    rates = evaluate.class_stats(evaluate.confusion_cells(rows))
+    assert rates.count() == 100_000 and rates.where("sensitivity = 0.5 AND pos_pred_value = 0.5").count() == 100_000
+
+
 def test_ilr_is_an_isometry(spark):
     rng = np.random.default_rng(3)
     for k in (2, 3, 7):

@@ -15,6 +15,7 @@ from topicloom.plans.sweep import Sweep, sweep_topics, topic_counts
 from topicloom.sources.corpus import decisions_to_corpus
 from topicloom.sources.decisions import read_decisions
 from topicloom.sources.exports import export_corpus, export_reduction, export_sweep
+from topicloom.sources.saved import SavedReduction, SavedSweep, load_reduction, load_sweep
 
 __all__ = [
     "CompositionErrors",
@@ -24,6 +25,8 @@ __all__ = [
     "LdaOptions",
     "PathOptions",
     "Reduction",
+    "SavedReduction",
+    "SavedSweep",
     "Sweep",
     "TfidfReduction",
     "TopicModel",
@@ -36,6 +39,8 @@ __all__ = [
     "export_sweep",
     "fit_lda",
     "keep_largest_classes",
+    "load_reduction",
+    "load_sweep",
     "prepare",
     "read_decisions",
     "reduce_by_lasso",

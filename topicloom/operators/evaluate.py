@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.schema import require_columns
+from topicloom.stash import stash
+
+
+def confusion_cells(rows: DataFrame) -> DataFrame:
+    """``(pred, truth, n)`` of the pairs that occur; all that the rates below need, however many labels there are."""
+    require_columns(rows, "pred", "truth", what="predictions")
+    return rows.groupBy("pred", "truth").agg(F.count("*").alias("n"))
 
 
 def confusion_table(rows: DataFrame, levels: list | None = None) -> DataFrame:
     """``(pred, truth, n)`` over the full square of levels, zero cells included.
 
     ``levels`` are the class labels; without them the levels are those of the rows, a null
-    being a level of its own. The square is a join of the levels with themselves, as large as the
-    table asked for.
+    being a level of its own. The square is as large as the labels squared and is made block by block from the
+    table of levels; for very many labels take ``confusion_cells``.
     """
-    require_columns(rows, "pred", "truth", what="predictions")
-    counts = rows.groupBy("pred", "truth").agg(F.count("*").alias("n"))
+    counts = confusion_cells(rows)
     if levels is None:
         sides = counts.select(F.explode(F.array("pred", "truth")).alias("v")).distinct()
     else:
         kind = rows.schema["truth"].dataType
         sides = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v).cast(kind) for v in levels])).alias("v"))
-    all_levels = sides.agg(F.collect_set(F.struct("v")).alias("levels"))
-    square = all_levels.select("levels", F.explode("levels.v").alias("pred")).select(
-        "pred", F.explode("levels.v").alias("truth")
-    )
+    numbers = stash(sides, "levels")
+    square = numbers.select(F.col("v").alias("pred")).crossJoin(numbers.select(F.col("v").alias("truth")))
     cells = counts.select(F.col("pred").alias("cell_pred"), F.col("truth").alias("cell_truth"), F.col("n").alias("cell_n"))
     same = F.col("pred").eqNullSafe(F.col("cell_pred")) & F.col("truth").eqNullSafe(F.col("cell_truth"))
     return square.join(cells, same, "left").select(
@@ -42,14 +46,26 @@ def misclassification(rows: DataFrame) -> DataFrame:
 
 
 def class_stats(confusion: DataFrame) -> DataFrame:
-    """Per-class rates from a confusion table, one row per class."""
+    """Per-class rates from the cells of a confusion table, zero cells or not; one row per class."""
     n = F.col("n")
-    by_truth = confusion.groupBy(F.col("truth").alias("label")).agg(
-        F.sum(n).alias("actual"),
-        F.sum(F.when(F.col("pred") == F.col("truth"), n).otherwise(0)).alias("hits"),
+    side = F.explode(
+        F.array(
+            F.struct(F.col("truth").alias("label"), n.alias("actual"), F.lit(0).cast("long").alias("predicted")),
+            F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("actual"), n.alias("predicted")),
+        )
+    )
+    hit = F.when(F.col("pred").eqNullSafe(F.col("truth")), n).otherwise(0)
+    # Each cell counts once for its truth and once for its prediction; hits only the first time.
+    margins = (
+        confusion.select(side.alias("s"), hit.alias("hit"))
+        .groupBy("s.label")
+        .agg(
+            F.sum("s.actual").alias("actual"),
+            F.sum("s.predicted").alias("predicted"),
+            F.sum(F.when(F.col("s.actual") > 0, F.col("hit")).otherwise(0)).alias("hits"),
+        )
     )
-    by_pred = confusion.groupBy(F.col("pred").alias("label")).agg(F.sum(n).alias("predicted"))
-    total = F.sum("actual").over(Window.partitionBy())
+    by_class = margins.crossJoin(F.broadcast(confusion.agg(F.sum("n").alias("total"))))
 
     def ratio(above, below):
         return F.when(below != 0, above / below)
@@ -59,9 +75,6 @@ def class_stats(confusion: DataFrame) -> DataFrame:
     true_negatives = F.col("total") - actual - predicted + hits
     sensitivity = ratio(hits, actual)
     specificity = ratio(true_negatives, others)
-    # One row per class by now, so the window that adds them up is small.
-    by_pred = by_pred.withColumnRenamed("label", "pred_label")
-    by_class = by_truth.withColumn("total", total).join(by_pred, F.col("label").eqNullSafe(F.col("pred_label")))
     return by_class.select(
         "label",
         sensitivity.alias("sensitivity"),

@@ -159,6 +159,10 @@ def oracle() -> dict[str, str]:
         + """ SELECT round(lo, 8) AS inf, round(hi, 8) AS sup,
             (SELECT count(*) FROM score) AS n_terms FROM band""",
         "tfidf_reduced": base + SCORE_CTES + f" SELECT ent.doc_id, ent.term, ent.tf FROM ent {band}",
+        "saved_reduction": base + SCORE_CTES + f" SELECT ent.doc_id, ent.term, ent.tf FROM ent {band}",
+        "saved_predictions": """WITH rk AS (SELECT lang, row_number() OVER (PARTITION BY lang
+                ORDER BY md5('123:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+            SELECT lang AS label, count(*) AS n, count(*) AS n_same FROM rk WHERE r > ceil(0.75 * n) GROUP BY lang""",
         "tfidf_kept_scores": base
         + SCORE_CTES
         + """ SELECT term, round(score, 8) AS score FROM score, band

@@ -24,6 +24,7 @@ from topicloom.plans.sweep import sweep_topics
 from topicloom.sources.corpus import METADATA, decisions_to_corpus
 from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, scan_decisions
 from topicloom.sources.exports import export_corpus
+from topicloom.sources.saved import load_reduction
 from topicloom.stash import broadcast_if_small, new_path, stash
 
 STOPWORD_LANGUAGES = ("english", "german", "french", "spanish", "italian")
@@ -278,12 +279,12 @@ def misclassification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate.class_stats(confusion(spark, sf_dir))
+    out = evaluate.class_stats(evaluate.confusion_cells(toxic_from_quality(spark, sf_dir)))
     return out.select("label", *[rounded(c).alias(c) for c in out.columns if c != "label"])
 
 
 def overall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate.overall_stats(confusion(spark, sf_dir))
+    out = evaluate.overall_stats(evaluate.confusion_cells(toxic_from_quality(spark, sf_dir)))
     return out.select("n", *[rounded(c).alias(c) for c in out.columns if c != "n"])
 
 
@@ -559,6 +560,27 @@ def exported_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def saved_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of a tf-idf reduction, saved and loaded."""
+    path = new_path(spark, "saved")
+    reduce_dtm(base(spark, sf_dir), "tfidf", out_dir=path)
+    return load_reduction(spark, f"{path}/tfidf").reduced.entries
+
+
+def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test documents per class, and how many a saved model predicts as the one in memory did."""
+    path = new_path(spark, "saved")
+    matrix = base(spark, sf_dir).stashed()
+    found = reduce_dtm(matrix, "lognet", classes=lang_labels(spark, sf_dir), seed=123, out_dir=path).result
+    fresh = stash(found.fit.model.predictions(found.fit.model.data.test), "predictions")
+    test = found.split.where(~F.col("is_train"))
+    loaded = load_reduction(spark, f"{path}/lognet").predict(tfidf_weights(matrix), test)
+    both = fresh.withColumnRenamed("pred", "fresh").join(loaded, "doc_id")
+    return both.groupBy(F.col("truth").alias("label")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("fresh") == F.col("pred")).alias("n_same")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "xml_decisions": xml_decisions,
     "xml_file_decisions": xml_file_decisions,
@@ -619,4 +641,6 @@ QUERIES: dict[str, Query] = {
     "exported_corpus": exported_corpus,
     "exported_table": exported_table,
     "exported_terms": exported_terms,
+    "saved_reduction": saved_reduction,
+    "saved_predictions": saved_predictions,
 }

@@ -1,11 +1,25 @@
-"""Sinks: corpus texts, vocabularies, reductions and sweeps under a caller's folder."""
+"""Sinks: corpus texts, vocabularies, reductions and sweeps under a caller's folder.
+
+A reduction or sweep is many tables. Its manifest is written last, in one job, so a result without one is half
+written; ``sources/saved.py`` reads complete ones back.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MANIFEST = "manifest"
+
+
+def publish(spark: SparkSession, out_dir: str, what: str, kind: str, tables: list[str], facts: dict) -> None:
+    """Write the manifest: what the folder holds, its parquet tables, and facts as texts."""
+    row = [(what, kind, tables, {k: str(v) for k, v in facts.items() if v is not None})]
+    schema = "what string, kind string, tables array<string>, facts map<string, string>"
+    spark.createDataFrame(row, schema).coalesce(1).write.json(f"{out_dir}/{MANIFEST}")
+
+
 def export_corpus(corpus: DataFrame, out_dir: str, as_text: bool = True) -> None:
     """Write one text file per document, or with ``as_text`` off the whole table as parquet.
 
@@ -24,6 +38,9 @@ def export_terms(terms: DataFrame, out_dir: str) -> None:
     terms.select("term").orderBy("term").write.text(out_dir)
 
 
+MATRIX = ("docs", "matrix_vocabulary", "entries")
+
+
 def export_dtm(dtm, out_dir: str) -> None:
     dtm.docs.write.parquet(f"{out_dir}/docs")
     dtm.vocabulary.write.parquet(f"{out_dir}/matrix_vocabulary")
@@ -39,6 +56,7 @@ def export_reduction(result, out_dir: str) -> None:
         result.term_tfidf.write.parquet(f"{out_dir}/term_tfidf")
         spark = result.term_tfidf.sparkSession
         spark.createDataFrame([result.thresholds]).write.json(f"{out_dir}/thresholds")
+        publish(spark, out_dir, "reduction", result.reduced.kind, [*MATRIX, "term_tfidf"], {})
         return
     result.split.write.parquet(f"{out_dir}/split")
     result.terms_by_class.write.parquet(f"{out_dir}/terms_by_class")
@@ -47,7 +65,12 @@ def export_reduction(result, out_dir: str) -> None:
     result.fit.model.intercepts().write.parquet(f"{out_dir}/intercepts")
     row = [(result.fit.chosen, result.err_train, result.err_test, result.seed)]
     schema = "lambda double, err_train double, err_test double, seed long"
-    result.split.sparkSession.createDataFrame(row, schema).write.json(f"{out_dir}/errors")
+    spark = result.split.sparkSession
+    spark.createDataFrame(row, schema).write.json(f"{out_dir}/errors")
+    facts = dict(zip(("lambda", "err_train", "err_test", "seed"), row[0]))
+    facts |= {"passes": result.fit.passes, "converged": result.fit.converged}
+    tables = [*MATRIX, "split", "terms_by_class", "path", "confusion", "intercepts"]
+    publish(spark, out_dir, "reduction", result.reduced.kind, tables, facts)
 
 
 def export_sweep(sweep, out_dir: str) -> None:
@@ -65,3 +88,7 @@ def export_sweep(sweep, out_dir: str) -> None:
             model.model.write().save(f"{folder}/model")
         for name, table in sweep.errors[k].confusion.items():
             table.write.parquet(f"{folder}/{name}")
+    names = ["runs", "split", "empty_docs", "best/top_topic", "best/top_terms"]
+    for k in sweep.models:
+        names += [f"k={k}/{name}" for name in ("posteriors", "phi", *sweep.errors[k].confusion)]
+    publish(sweep.runs.sparkSession, out_dir, "sweep", sweep.kind, names, {"method": sweep.method, "best_k": sweep.best.k})
