@@ -349,6 +349,9 @@ class Judge:
                     doc = int(found.doc[begin[at]])
                     if best[doc] is not None and best[doc][:2] >= (1.0, -item):
                         continue  # nothing can beat it
+                    own = np.isin(self.answers[item], found.hashes[begin[at] : end[at]]).sum()
+                    if own < self.needed(item):
+                        continue  # other items of the block let this window pass
                     margin = self.items.words[item].size // 4
                     window = found.hashes[max(first[at], begin[at] - margin) : min(last[at], end[at] + margin)]
                     share = self.verdict(item, window)
