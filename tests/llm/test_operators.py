@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -239,7 +241,11 @@ def test_automaton_equals_regular_expressions():
     globs = ["".join(rng.choice(["a", "b", "/", ".", "*", "**"]) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
     urls = ["".join(rng.choice("ab/.") for _ in range(rng.randrange(12))) for _ in range(300)]
     (_, _, data, offsets), = text_slices(pa.array(urls))
-    fits = url_filters.GlobAutomaton(globs).match(data, offsets)
+    automaton = url_filters.GlobAutomaton(globs)
+    state = automaton.accepted(data, offsets)
+    fits = np.stack([state[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1) for bit in automaton.finals], axis=1) != 0
+    first = [next((g for g, hit in enumerate(row) if hit), -1) for row in fits]
+    assert automaton.first(data, offsets).tolist() == automaton.first(data, offsets, 100).tolist() == first
     for g, glob in enumerate(globs):
         pattern = re.sub(r"\*\*|\*|.", lambda m: {"**": ".*", "*": "[^/]*"}.get(m[0]) or re.escape(m[0]), glob.replace("***", "**"))
         expected = [re.fullmatch(pattern, u) is not None for u in urls]
@@ -262,6 +268,28 @@ def test_url_verdicts(spark):
     assert url_filters.judge_urls(table.limit(0)).count() == 0
 
 
+def test_a_url_list_of_real_size(spark):
+    """20000 rules are built in linear time, and a task's state stays within its bytes."""
+    rng = random.Random(6)
+    hosts = ["".join(rng.choices("abcdef", k=9)) for _ in range(20_000)]
+    began = time.process_time()
+    automaton = url_filters.GlobAutomaton([f"*.{host}.org/**" for host in hosts])
+    assert time.process_time() - began < 10
+    assert automaton.step.nbytes <= 256 * 8 * (sum(len(g) for g in automaton.globs) // 64 + 1)
+    picked = rng.sample(range(20_000), 40)
+    urls = [f".www.{hosts[k]}.org/x" for k in picked] + [f".{hosts[k]}.com/" for k in picked]
+    (_, _, data, offsets), = text_slices(pa.array(urls))
+    tracemalloc.start()
+    first = automaton.first(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first.tolist() == [hosts.index(hosts[k]) for k in picked] + [-1] * 40
+    assert peak < 6 * url_filters.STATE_BYTES
+    table = spark.createDataFrame([(k, f"http://{hosts[k]}.org/a") for k in picked], "page_id long, url string")
+    got = url_filters.judge_urls(table, (), automaton.globs).collect()
+    assert {(r.page_id, r.verdict, r["glob"]) for r in got} == {(k, "block", f"*.{hosts[k]}.org/**") for k in picked}
+
+
 # --- 6: sharding ---------------------------------------------------------------------------
 
 

@@ -48,6 +48,9 @@ HOST_RULES = (
     HostRule(ALLOW, "org", "/fr/"),
 )
 
+# Bytes of automaton state that a task holds at a time.
+STATE_BYTES = 8 << 20
+
 # The filter's own block list, for URLs that no host rule fits; whatever is left is allowed.
 BLOCK_GLOBS = (
     "*spam-farm*/**",
@@ -59,52 +62,53 @@ BLOCK_GLOBS = (
 
 
 class GlobAutomaton:
-    """Shift-And over many globs. Bit 0 of a glob is its start, the last one its acceptance."""
+    """Shift-And over many globs. Bit 0 of a glob is its start, the last one its acceptance.
+
+    Built once, in time linear in the rules, and sent to the tasks: its tables take 256 bits per position.
+    """
 
     def __init__(self, globs: Sequence[str]):
         self.globs = tuple(globs)
-        literals, loops, starts, finals, at = [], [], [], [], 0
+        literals, literal_bits, shallow, deep, starts, finals, at = [], [], [], [], [], [], 0
         for glob in self.globs:
             starts.append(at)
             data, k = glob.encode(), 0
             while k < len(data):
-                if data[k] == ord("*"):
-                    deep = data[k : k + 2] == b"**"
-                    loops.append((at, deep))
-                    k += 2 if deep else 1
-                else:
+                if data[k] != ord("*"):
                     at += 1
-                    literals.append((at, data[k]))
+                    literals.append(data[k])
+                    literal_bits.append(at)
+                    k += 1
+                elif data[k : k + 2] == b"**":
+                    deep.append(at)
+                    k += 2
+                else:
+                    shallow.append(at)
                     k += 1
             finals.append(at)
             at += 1
         self.words = max(1, -(-at // 64))
         self.step = np.zeros((256, self.words), np.uint64)
-        self.stay = np.zeros((256, self.words), np.uint64)
-        for bit, byte in literals:
-            self.step[byte, bit // 64] |= self._bit(bit)
-        for bit, deep in loops:
-            self.stay[:, bit // 64] |= self._bit(bit)
-        for bit, deep in loops:
-            if not deep and (bit, True) not in loops:
-                self.stay[ord("/"), bit // 64] &= ~self._bit(bit)
-        self.initial = np.zeros(self.words, np.uint64)
-        for bit in starts:
-            self.initial[bit // 64] |= self._bit(bit)
-        self.finals = finals
-
-    @staticmethod
-    def _bit(bit: int) -> np.uint64:
-        return np.uint64(1) << np.uint64(bit % 64)
+        bits = np.array(literal_bits, np.int64)
+        np.bitwise_or.at(self.step, (np.array(literals, np.int64), bits // 64), _one(bits))
+        # Loops for any byte but "/", and those for "/".
+        self.stay = np.stack([self._mask(deep + shallow), self._mask(deep)])
+        self.initial, self.final = self._mask(starts), self._mask(finals)
+        self.finals = np.array(finals, np.int64)
+
+    def _mask(self, bits: list[int]) -> np.ndarray:
+        bits, mask = np.array(bits, np.int64), np.zeros(self.words, np.uint64)
+        np.bitwise_or.at(mask, bits // 64, _one(bits))
+        return mask
 
     def advance(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """One byte for every URL: ``state`` is URLs x words, ``byte`` one value per URL."""
         shifted = state << np.uint64(1)
         shifted[:, 1:] |= state[:, :-1] >> np.uint64(63)
-        return (shifted & self.step[byte]) | (state & self.stay[byte])
+        return (shifted & self.step[byte]) | (state & self.stay[(byte == ord("/")).astype(np.intp)])
 
-    def match(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Boolean URLs x globs. Longer URLs stay active while shorter ones are done."""
+    def accepted(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Acceptance bits, URLs x words. Longer URLs stay active while shorter ones are done."""
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
         heads, left = offsets[:-1][order], lengths[order]
@@ -112,10 +116,27 @@ class GlobAutomaton:
         for k in range(int(left[0]) if left.size else 0):
             active = int(np.searchsorted(-left, -k, "left"))
             state[:active] = self.advance(state[:active], data[heads[:active] + k])
-        fits = np.empty((lengths.size, len(self.globs)), bool)
-        for g, bit in enumerate(self.finals):
-            fits[order, g] = (state[:, bit // 64] & self._bit(bit)) != 0
-        return fits
+        out = np.empty_like(state)
+        out[order] = state & self.final
+        return out
+
+    def first(self, data: np.ndarray, offsets: np.ndarray, state_bytes: int = STATE_BYTES) -> np.ndarray:
+        """Number of the first glob that fits each URL, or -1, in slices whose state takes ``state_bytes``."""
+        found = np.full(offsets.size - 1, -1, np.int64)
+        rows = max(1, state_bytes // (8 * self.words))
+        for lo in range(0, found.size, rows):
+            state = self.accepted(data, offsets[lo : lo + rows + 1])
+            word = (state != 0).argmax(axis=1)
+            value = state[np.arange(len(state)), word]
+            lowest = value & (~value + np.uint64(1))
+            bit = word * 64 + np.frexp(lowest.astype(np.float64))[1] - 1
+            hit = value != 0
+            found[lo : lo + rows][hit] = np.searchsorted(self.finals, bit[hit])
+        return found
+
+
+def _one(bits: np.ndarray) -> np.ndarray:
+    return np.uint64(1) << (bits % 64).astype(np.uint64)
 
 
 def host_of(url: Column) -> Column:
@@ -142,32 +163,27 @@ def judge_urls(
     one without ``://`` has an empty host and path, fits nothing and is allowed. Repeated rows
     stay; other columns are ignored.
     """
-    globs = [rule.glob for rule in host_rules] + list(block_globs)
-    ranked = sorted(range(len(host_rules)), key=lambda k: -len(host_rules[k].name))
-    names = [rule.name for rule in host_rules]
-    verdicts = [rule.verdict for rule in host_rules]
-    block_globs = list(block_globs)
+    # In the order in which they decide, so that the first one that fits is the verdict.
+    ranked = sorted(host_rules, key=lambda rule: -len(rule.name))
+    automaton = GlobAutomaton([rule.glob for rule in ranked] + list(block_globs))
+    unset = [None] * len(ranked)
+    # The last entry, which number -1 picks, is for URLs that nothing fits.
+    names = np.array([rule.name for rule in ranked] + [None] * (len(block_globs) + 1), object)
+    verdicts = np.array([rule.verdict for rule in ranked] + [BLOCK] * len(block_globs) + [ALLOW], object)
+    own_globs = np.array(unset + list(block_globs) + [None], object)
     schema = T.StructType(
         [pages.schema["page_id"]]
         + [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict", "glob")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = GlobAutomaton(globs)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(3)):
-                fits = automaton.match(data, offsets)
-                rule, verdict, glob = [], [], []
-                for row in fits:
-                    k = next((k for k in ranked if row[k]), None)
-                    g = next((g for g in np.flatnonzero(row[len(names) :])), None)
-                    rule.append(None if k is None else names[k])
-                    glob.append(None if k is not None or g is None else block_globs[g])
-                    verdict.append(verdicts[k] if k is not None else ALLOW if g is None else BLOCK)
+                first = automaton.first(data, offsets)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2)]
-                    + [pa.array(x, pa.string()) for x in (rule, verdict, glob)],
+                    + [pa.array(x[first], pa.string()) for x in (names, verdicts, own_globs)],
                     ["page_id", "host", "path", "rule", "verdict", "glob"],
                 )
 
