@@ -5,7 +5,7 @@ from topicloom.operators.classify import CompositionErrors, classify_composition
 from topicloom.operators.dtm import Dtm, corpus_to_dtm
 from topicloom.operators.gibbs import GibbsOptions
 from topicloom.operators.lasso import PathOptions
-from topicloom.operators.lda import LdaOptions, TopicModel, fit_lda, prepare
+from topicloom.operators.lda import LdaOptions, TopicModel, fit_lda, fit_together, prepare
 from topicloom.operators.reduce_lasso import LassoReduction, reduce_by_lasso, reduce_by_lasso_cv
 from topicloom.operators.reduce_tfidf import TfidfReduction, reduce_by_tfidf
 from topicloom.operators.split import keep_largest_classes, stratified_split
@@ -38,6 +38,7 @@ __all__ = [
     "export_reduction",
     "export_sweep",
     "fit_lda",
+    "fit_together",
     "keep_largest_classes",
     "load_reduction",
     "load_sweep",

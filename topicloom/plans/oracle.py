@@ -263,6 +263,9 @@ def oracle() -> dict[str, str]:
             FROM range(4) r(t)""",
         "lda_bounds": """SELECT method, true AS converged, 0::BIGINT AS n_fell, true AS several
             FROM (VALUES ('VEM'), ('VEM_fixed')) v(method)""",
+        "lda_grid": base
+        + """ SELECT doc_id, k::INTEGER AS k, 2::INTEGER AS resumed, true AS converged, true AS same
+            FROM (SELECT DISTINCT doc_id FROM ent) d, (VALUES (2), (4)) v(k)""",
         "lasso_union": base + " SELECT term FROM voc",
         # Terms that vary over the train rows, none of which may break the condition.
         "lasso_optimality": base

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from topicloom.operators import evaluate, lasso, split, topics
 from topicloom.operators.classify import classify_compositions
 from topicloom.operators.gibbs import GibbsOptions
 from topicloom.operators.lasso import PathOptions
-from topicloom.operators.lda import LdaOptions, fit_lda, prepare
+from topicloom.operators.lda import LdaOptions, fit_lda, fit_together, prepare
 from topicloom.operators.levels import level_index
 from topicloom.operators.quantiles import exact_quantiles
 from topicloom.operators.reduce_tfidf import reduce_by_tfidf, term_scores
@@ -478,6 +479,21 @@ def lda_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per k and document: whether fits that share their passes, stopped after two iterations and resumed, give what a fit alone gives."""
+    data, ks, folder = prepare(base(spark, sf_dir)), (2, 4), new_path(spark, "fits")
+    fit_together(data, ks, "VEM", options=LdaOptions(max_iter=2, resume_dir=folder))
+    shared = fit_together(data, ks, "VEM", options=LdaOptions(resume_dir=folder))
+    compared = []
+    for k, model in shared.items():
+        alone = fit_lda(data, k, "VEM").posteriors.select("doc_id", F.col("p").alias("q"))
+        far = F.array_max(F.zip_with("p", "q", lambda x, y: F.abs(x - y)))
+        both = stash(model.posteriors, "posteriors").join(stash(alone, "posteriors"), "doc_id")
+        facts = F.lit(k).alias("k"), F.lit(model.record.resumed).alias("resumed"), F.lit(model.record.converged).alias("converged")
+        compared.append(both.select("doc_id", *facts, (far < 1e-4).alias("same")))
+    return reduce(DataFrame.unionByName, compared)
+
+
 def posterior_sums(posteriors: DataFrame) -> DataFrame:
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
     return posteriors.select("doc_id", F.round(total, 6).alias("total"))
@@ -630,6 +646,7 @@ QUERIES: dict[str, Query] = {
     "lda_topics": lda_topics,
     "lda_fixed_alpha_topics": lda_fixed_alpha_topics,
     "lda_bounds": lda_bounds,
+    "lda_grid": lda_grid,
     "gibbs_topics": gibbs_topics,
     "lda_posterior_docs": lda_posterior_docs,
     "gibbs_posterior_docs": gibbs_posterior_docs,

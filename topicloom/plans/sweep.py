@@ -13,7 +13,7 @@ from topicloom.operators.classify import CompositionErrors, classify_composition
 from topicloom.operators.dtm import Dtm
 from topicloom.operators.evaluate import best_k
 from topicloom.operators.lasso import PathOptions, in_threads
-from topicloom.operators.lda import METHODS, LdaOptions, TopicInput, TopicModel, fit_lda, prepare
+from topicloom.operators.lda import METHODS, LdaOptions, TopicInput, TopicModel, fit_together, prepare, shared_scans
 from topicloom.operators.split import DEFAULT_SEED, stratified_split
 from topicloom.operators.topics import top_terms, top_topic
 from topicloom.schema import require_columns
@@ -69,13 +69,14 @@ def sweep_topics(
     lda: LdaOptions = LdaOptions(),
     parallelism: int = 4,
     out_dir: str | None = None,
-    fit: Callable[..., TopicModel] = fit_lda,
+    fit: Callable[..., TopicModel] | None = None,
 ) -> Sweep:
     """Fit every ``k``, classify its compositions, and pick the ``k`` of lowest test error.
 
-    Documents without a word are left out and reported; one split serves all runs. The runs
-    are submitted from a few driver threads and share the prepared table. A run that fails
-    is recorded and skipped.
+    Documents without a word are left out and reported; one split serves all runs. Variational fits share their
+    passes over the documents as far as their topic rows can be sent out together; whatever remains is
+    submitted from a few driver threads. A run that fails is recorded and skipped: where a shared
+    pass fails, each of its ``k`` is fitted alone. ``fit``, if given, fits one ``k`` at a time instead.
     """
     if not isinstance(dtm, Dtm):
         raise ValueError("dtm must be a Dtm")
@@ -89,19 +90,37 @@ def sweep_topics(
     split = stash(stratified_split(labelled, DEFAULT_SEED), "split")
     spark = split.sparkSession
 
-    def run(k: int):
-        start = time.time()
+    def fitted(group: list[int]) -> dict[int, tuple[TopicModel | None, float, str | None]]:
+        start, done = time.time(), {}
         try:
-            model = fit(data, k, method, options=lda)
-            posteriors = stash(model.posteriors, "posteriors")
-            model = replace(model, posteriors=posteriors)
-            seconds = time.time() - start
-            found = classify_compositions(posteriors, split, repeated_cv, options)
+            models = {k: fit(data, k, method, options=lda) for k in group} if fit else fit_together(data, group, method, options=lda)
+            for k, model in models.items():
+                begin = time.time() if model.record else start
+                posteriors = stash(model.posteriors, "posteriors")
+                seconds = time.time() - begin + (model.record.seconds if model.record else 0.0)
+                done[k] = replace(model, posteriors=posteriors), seconds, None
         except Exception as failure:  # a failing k must not stop the others
-            return k, None, None, time.time() - start, f"{type(failure).__name__}: {failure}"
+            if len(group) > 1:
+                return {k: outcome for k in group for outcome in [done.get(k) or fitted([k])[k]]}
+            return {group[0]: (None, time.time() - start, f"{type(failure).__name__}: {failure}")}
+        return done
+
+    groups = [[k] for k in dict.fromkeys(ks)] if fit else shared_scans(ks, data.size, method)
+    fits = {}
+    for found in in_threads(spark, [lambda group=group: fitted(group) for group in groups], parallelism):
+        fits |= found
+
+    def run(k: int):
+        model, seconds, failure = fits[k]
+        if model is None:
+            return k, None, None, seconds, failure
+        try:
+            found = classify_compositions(model.posteriors, split, repeated_cv, options)
+        except Exception as failure:
+            return k, None, None, seconds, f"{type(failure).__name__}: {failure}"
         return k, model, found, seconds, None
 
-    outcomes = in_threads(spark, [lambda k=k: run(k) for k in ks], parallelism)
+    outcomes = in_threads(spark, [lambda k=k: run(k) for k in fits], parallelism)
 
     names = ("e0_train", "e1_train", "e2_train", "e0_test", "e1_test", "e2_test")
     records = [
