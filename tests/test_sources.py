@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from topicloom.plans.reduce import reduce_dtm
 from topicloom.sources.corpus import decisions_to_corpus, duplicate_ids
-from topicloom.sources.decisions import delete_first_star, latin1_or_null, read_decisions, scan_decisions
+from topicloom.sources.decisions import delete_first_star, file_kinds, latin1_or_null, read_decisions, scan_decisions
 from topicloom.sources.exports import export_corpus
 from topicloom.operators.dtm import corpus_to_dtm
 
@@ -93,6 +93,9 @@ def _three(middle: str) -> str:
         (RECORD.format(n=2, t="<![CDATA[due </snintegrale>]]>"), None, ["due </snintegrale>", "tre", "uno"]),
         (RECORD.format(n=2, t="città"), "ISO-8859-1", ["città", "tre", "uno"]),
         (RECORD.format(n=2, t="città"), "utf-8", ["città", "tre", "uno"]),
+        (RECORD.format(n=2, t="città €"), "windows-1252", ["città €", "tre", "uno"]),
+        (RECORD.format(n=2, t="prima<!-- </snintegrale> --> dopo"), "ISO-8859-1", ["prima dopo", "tre", "uno"]),
+        (RECORD.format(n=2, t="due"), "utf-16", ["due", "tre", "uno"]),
     ],
 )
 def test_no_record_is_lost_by_cutting(spark, tmp_path, middle, encoding, texts):
@@ -105,6 +108,49 @@ def test_no_record_is_lost_by_cutting(spark, tmp_path, middle, encoding, texts):
     assert sorted(r.testo for r in whole.collect()) == expected
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "ISO-8859-1"])
+def test_comments_and_cdata_across_splits(spark, tmp_path, small_splits, encoding):
+    """One file, in many tasks, with comments and CDATA sections longer than a split that hold closing tags."""
+    decoy = RECORD.format(n=0, t="no")
+    texts, body = [], []
+    for i in range(300):
+        text = f"città {i} " + "parola " * (i % 40)
+        if i % 7 == 0:
+            body.append("<!-- " + decoy * (60 if i % 70 == 0 else 1) + " -->")
+        if i % 11 == 0:
+            inside = "x </snintegrale> & y " * (400 if i % 110 == 0 else 1)
+            body.append(RECORD.format(n=i, t=f"{text}<![CDATA[{inside}]]>"))
+            text += inside
+        else:
+            body.append(RECORD.format(n=i, t=text).replace("</snintegrale>", "</snintegrale\n>" if i % 5 else "</snintegrale>"))
+        texts.append((i, text))
+    head = f'<?xml version="1.0" encoding="{encoding}"?>\n<?note <!-- ?>\n<root>\n'
+    path = tmp_path / "one.xml"
+    path.write_bytes((head + "\n".join(body) + "\n</root>").encode(encoding))
+    kinds = file_kinds(spark, str(path))
+    assert kinds.plain == kinds.whole == [] and list(kinds.lexed) == [encoding.lower()]
+    assert spark.read.option("lineSep", "</snintegrale").text(str(path)).rdd.getNumPartitions() > 8
+    assert sorted((r.num_dec, r.testo) for r in scan_decisions(spark, str(path)).collect()) == texts
+
+
+def test_a_file_that_cannot_be_cut_is_read_whole(spark, tmp_path):
+    (tmp_path / "type.xml").write_text("<!DOCTYPE root>" + _three(""))
+    (tmp_path / "nested.xml").write_text("<root><!-- x --><snintegrale><snintegrale/>" + RECORD.format(n=9, t="in") + "</snintegrale></root>")
+    (tmp_path / "plain.xml").write_text(_three(""))
+    kinds = file_kinds(spark, str(tmp_path))
+    assert [len(kinds.plain), len(kinds.whole)] == [1, 1] and list(kinds.lexed) == ["utf-8"]
+    whole = scan_decisions(spark, str(tmp_path), split_files=False)
+    assert sorted(scan_decisions(spark, str(tmp_path)).collect()) == sorted(whole.collect())
+
+
 def test_ids_are_unique_and_survive_a_move(spark, tmp_path):
     same = RECORD.format(n=1, t="uno") + RECORD.format(n=1, t="due") + RECORD.format(n=1, t="due")
     found = []

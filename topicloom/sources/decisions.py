@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from topicloom.operators.levels import level_index
 from topicloom.schema import DECISIONS
+from topicloom.sources.lexer import record_texts
 from topicloom.stash import broadcast_if_small, stash
 
 # Names in the XML documents.
@@ -37,11 +41,14 @@ XML_RECORD = T.StructType(
     + _strings("testo", "tes", "dispositivo", "dis")
 )
 
-# Marks of a file that cutting at the closing tag could misread: comments, CDATA, entities or a
-# document type, a closing tag with blanks, a declared encoding other than UTF-8.
-UNSAFE_PATTERN = (
-    rf"(?i)<!|</{ROW_TAG}\s+>|<\?xml[^>]*\sencoding\s*=\s*[\"'](?!utf-?8[\"'])"
-)
+# Encodings whose every byte is a character and whose first half is ASCII.
+SINGLE_BYTE = ["us-ascii"] + [f"iso-8859-{n}" for n in range(1, 17) if n != 12] + [f"windows-{n}" for n in range(1250, 1259)]
+
+# Marks of a file, in chunks cut before its closing tags. One with a document type, a longer tag name or bytes
+# that are no text is read by one task; one with comments, CDATA sections or blanks in closing tags is lexed.
+WHOLE_PATTERN = r"(?s)<!(?!--|\[CDATA\[)|\A[-\w.:]|\x{00}"
+LEXED_PATTERN = r"<!--|<!\[CDATA\[|\A\s+>"
+ENCODING_PATTERN = r"\A\x{FEFF}?<\?xml[^>]*\sencoding\s*=\s*[\"']([^\"']+)"
 OPENING_PATTERN = rf"<{ROW_TAG}(?:\s[^>]*)?(?<!/)>"
 
 # An empty element, or an opening tag up to the end of the chunk it was cut from.
@@ -154,36 +161,69 @@ def _records_by_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return records.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def unsafe_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Files under ``path`` that may be cut at the closing tag, and files that may not.
+@dataclass(frozen=True)
+class FileKinds:
+    """Files that may be cut at the closing tag, files to lex by their encoding, files that one task must read."""
+
+    plain: list[str]
+    lexed: dict[str, list[str]]
+    whole: list[str]
 
-    One pass over the text, cut the same way, looks for anything that makes the cut differ from what
+
+def file_kinds(spark: SparkSession, path: str) -> FileKinds:
+    """How each file under ``path`` can be read.
+
+    One pass over the text, cut before closing tags, looks for anything that makes a cut there differ from what
     an XML parser reads, and counts opening against closing tags. The driver gets file
     names only, which Spark's own file index holds there anyway.
     """
-    chunks = spark.read.option("lineSep", f"</{ROW_TAG}>").text(path)
+    chunks = spark.read.option("lineSep", f"</{ROW_TAG}").text(path)
     opened = F.size(F.regexp_extract_all("value", F.lit(OPENING_PATTERN), F.lit(0)))
-    files = (
-        chunks.select(F.col("_metadata.file_path").alias("file"), F.col("value").rlike(UNSAFE_PATTERN).alias("odd"), opened.alias("opened"))
-        .groupBy("file")
-        .agg(F.max("odd").alias("odd"), F.max("opened").alias("most"))
-        .select("file", (F.col("odd") | (F.col("most") > 1)).alias("unsafe"))
-        .collect()
+    marks = chunks.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("value").rlike(WHOLE_PATTERN).alias("whole"),
+        F.col("value").rlike(LEXED_PATTERN).alias("lexed"),
+        F.lower(F.regexp_extract("value", ENCODING_PATTERN, 1)).alias("encoding"),
+        opened.alias("opened"),
     )
-    return sorted(r[0] for r in files if not r[1]), sorted(r[0] for r in files if r[1])
+    files = marks.groupBy("file").agg(*[F.max(c).alias(c) for c in ("whole", "lexed", "encoding", "opened")]).collect()
+    plain, lexed, whole = [], {}, []
+    for file, odd, marked, declared, most in sorted(files):
+        encoding = declared or "utf-8"
+        utf8 = encoding in ("utf-8", "utf8")
+        if odd or not (utf8 or encoding in SINGLE_BYTE) or (most > 1 and not marked and utf8):
+            whole.append(file)
+        elif marked or not utf8:
+            lexed.setdefault(encoding, []).append(file)
+        else:
+            plain.append(file)
+    return FileKinds(plain, lexed, whole)
+
+
+def _elements(texts: DataFrame, text: Column) -> DataFrame:
+    """Parsed records of ``(file, text)`` rows."""
+    elements = F.regexp_extract_all(text, F.lit(RECORD_PATTERN), F.lit(0))
+    element = texts.select(F.explode_outer(elements).alias("xml"), "file").where(F.col("xml").isNotNull())
+    record = F.from_xml("xml", XML_RECORD.simpleString(), XML_OPTIONS)
+    return element.select(record.alias("r"), "file").select("r.*", "file")
+
+
+def lexed_records(spark: SparkSession, files: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+    """Records of the files to lex, and those of them, left out of it, that hold a record within a record."""
+    texts = [record_texts(spark, names, ROW_TAG, encoding) for encoding, names in files.items()]
+    texts = reduce(DataFrame.unionByName, texts)
+    opened = F.size(F.regexp_extract_all("text", F.lit(OPENING_PATTERN), F.lit(0)))
+    nested = sorted(r[0] for r in texts.where(opened > 1).select("file").distinct().collect())
+    if nested:
+        texts = texts.where(~F.col("file").isin(nested))
+    return _elements(texts, F.col("text")), nested
 
 
 def split_records(reader: DataFrameReader | DataStreamReader, path: str | list[str]) -> DataFrame:
     """Records of UTF-8 files, cut at the closing tag so that a file spreads over many tasks."""
     chunks = reader.option("lineSep", f"</{ROW_TAG}>").text(path)
-    elements = F.regexp_extract_all(
-        F.concat("value", F.lit(f"</{ROW_TAG}>")), F.lit(RECORD_PATTERN), F.lit(0)
-    )
-    element = chunks.select(
-        F.explode_outer(elements).alias("xml"), F.col("_metadata.file_path").alias("file")
-    ).where(F.col("xml").isNotNull())
-    record = F.from_xml("xml", XML_RECORD.simpleString(), XML_OPTIONS)
-    return element.select(record.alias("r"), "file").select("r.*", "file")
+    texts = chunks.select("value", F.col("_metadata.file_path").alias("file"))
+    return _elements(texts, F.concat("value", F.lit(f"</{ROW_TAG}>")))
 
 
 def scan_decisions(
@@ -192,16 +232,23 @@ def scan_decisions(
     """Decision columns of the XML files under ``path``.
 
     With ``split_files`` one file may be read by many tasks, so a single huge file is no
-    bottleneck; files for which that could misread a record are told by a pass over
-    their text and read as a whole by the XML source, one task each, in whatever encoding
-    they declare. Without it all files are read that way. The rows are the same.
+    bottleneck. A pass over the text tells how: plain files are cut at the closing tag; files with comments, CDATA
+    sections or a declared single-byte encoding are lexed by splits (``sources/lexer.py``). Only files with a
+    document type, records within records or another encoding are read by the XML source, one task
+    each. Without it all files are read that way. The rows are the same.
     """
     if split_files:
-        safe, unsafe = unsafe_files(spark, path)
-        records = split_records(spark.read, safe) if safe else None
-        if unsafe or records is None:
-            whole = _records_by_file(spark, unsafe or path)
-            records = whole if records is None else records.unionByName(whole)
+        kinds = file_kinds(spark, path)
+        found, whole = [], kinds.whole
+        if kinds.plain:
+            found.append(split_records(spark.read, kinds.plain))
+        if kinds.lexed:
+            lexed, nested = lexed_records(spark, kinds.lexed)
+            found.append(lexed)
+            whole = whole + nested
+        if whole or not found:
+            found.append(_records_by_file(spark, whole or path))
+        records = reduce(DataFrame.unionByName, found)
     else:
         records = _records_by_file(spark, path)
     return flatten_decisions(final_decisions(records), F.col("file"), latin1)
