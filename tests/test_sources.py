@@ -5,7 +5,16 @@ from pyspark.sql import functions as F
 
 from topicloom.plans.reduce import reduce_dtm
 from topicloom.sources.corpus import decisions_to_corpus, duplicate_ids
-from topicloom.sources.decisions import delete_first_star, file_kinds, latin1_or_null, read_decisions, scan_decisions
+from topicloom.sources.decisions import (
+    ReadReport,
+    delete_first_star,
+    file_kinds,
+    latin1_or_null,
+    read_decisions,
+    read_reported,
+    scan_decisions,
+    with_unique_ids,
+)
 from topicloom.sources.exports import export_corpus
 from topicloom.operators.dtm import corpus_to_dtm
 
@@ -163,6 +172,20 @@ def test_ids_are_unique_and_survive_a_move(spark, tmp_path):
     assert found[0] == found[1]
 
 
+def test_a_report_of_the_reading(spark, xml_path):
+    decisions, report = read_reported(spark, xml_path)
+    assert decisions.count() == 4
+    assert report == ReadReport(records=6, other_types=1, untyped=1, without_ruling=2, unlabelled=2, repeated_ids=0)
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr("topicloom.sources.decisions.COPIES", 3)
+    rows = [(1, "a", None)] * 10 + [(1, "b", "x")] * 2 + [(2, None, "y")]
+    found = with_unique_ids(spark.createDataFrame(rows, "doc_id long, testo string, materia string")).collect()
+    assert len({r.doc_id for r in found}) == 13 and {1, 2} <= {r.doc_id for r in found}
+    assert sorted(str(tuple(r)[1:]) for r in found) == sorted(str(r[1:]) for r in rows)
+
+
 def test_star_and_latin1(spark):
     rows = [("*a*b",), ("a*b",), ("ab",), (None,)]
     df = spark.createDataFrame(rows, "v string").select(delete_first_star(F.col("v")))

@@ -13,7 +13,7 @@ from topicloom.operators.weights import tfidf_diagnostics, tfidf_weights
 from topicloom.plans.reduce import Reduction, reduce_dtm
 from topicloom.plans.sweep import Sweep, sweep_topics, topic_counts
 from topicloom.sources.corpus import decisions_to_corpus
-from topicloom.sources.decisions import read_decisions
+from topicloom.sources.decisions import read_decisions, read_reported
 from topicloom.sources.exports import export_corpus, export_reduction, export_sweep
 from topicloom.sources.saved import SavedReduction, SavedSweep, load_reduction, load_sweep
 
@@ -44,6 +44,7 @@ __all__ = [
     "load_sweep",
     "prepare",
     "read_decisions",
+    "read_reported",
     "reduce_by_lasso",
     "reduce_by_lasso_cv",
     "reduce_by_tfidf",

@@ -114,6 +114,10 @@ def oracle() -> dict[str, str]:
         "xml_column_decisions": decisions_sql(latin1=True),
         "xml_mixed_decisions": decisions_sql(),
         "unique_decision_ids": "SELECT count(*) AS n, count(*) AS n_ids FROM documents WHERE lang <> 'de'",
+        "decision_report": """SELECT count(*) AS records, count_if(lang = 'de') AS other_types,
+                count_if(lang = 'fr') AS untyped, count_if(lang = 'es') AS without_ruling,
+                count_if(lang = 'es' OR (coalesce(lang, '') NOT IN ('de', 'fr') AND source IS NULL)) AS unlabelled
+            FROM documents""",
         "decisions_corpus": CORPUS,
         "top_classes": TOP_SOURCES,
         "kept_classes": f"""WITH top AS ({TOP_SOURCES}) SELECT doc_id, source AS label

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 from functools import reduce
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from topicloom.operators.weights import tfidf_diagnostics, tfidf_weights
 from topicloom.plans.reduce import reduce_dtm
 from topicloom.plans.sweep import sweep_topics
 from topicloom.sources.corpus import METADATA, decisions_to_corpus
-from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, scan_decisions
+from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, read_reported, scan_decisions
 from topicloom.sources.exports import export_corpus
 from topicloom.sources.saved import load_reduction
 from topicloom.stash import broadcast_if_small, new_path, stash
@@ -137,6 +138,17 @@ def unique_decision_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decision_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the records found and dropped; French ones have no type here."""
+    path = new_path(spark, "xml-report")
+    records = xml_records(spark, sf_dir)
+    records = records.withColumn("_tipoprov", F.when(~F.col("sic._nrg").eqNullSafe("fr"), F.col("_tipoprov")))
+    records.write.format("xml").option("rootTag", "decisions").option("rowTag", ROW_TAG).save(path)
+    facts = asdict(read_reported(spark, path)[1])
+    del facts["repeated_ids"]  # depends on how many files there are
+    return spark.createDataFrame([tuple(facts.values())], ", ".join(f"{name} long" for name in facts))
+
+
 def decisions_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = read_decisions(spark, xml_files(spark, sf_dir))
     made = decisions_to_corpus(decisions, METADATA)
@@ -603,6 +615,7 @@ QUERIES: dict[str, Query] = {
     "xml_column_decisions": xml_column_decisions,
     "xml_mixed_decisions": xml_mixed_decisions,
     "unique_decision_ids": unique_decision_ids,
+    "decision_report": decision_report,
     "decisions_corpus": decisions_corpus,
     "top_classes": top_classes,
     "kept_classes": kept_classes,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamReader
 from topicloom.operators.levels import level_index
 from topicloom.schema import DECISIONS
 from topicloom.sources.lexer import record_texts
-from topicloom.stash import broadcast_if_small, stash
+from topicloom.stash import broadcast_if_small, row_count, stash
 
 # Names in the XML documents.
 ROW_TAG = "snintegrale"
@@ -54,6 +54,9 @@ OPENING_PATTERN = rf"<{ROW_TAG}(?:\s[^>]*)?(?<!/)>"
 # An empty element, or an opening tag up to the end of the chunk it was cut from.
 RECORD_PATTERN = rf"(?s)<{ROW_TAG}(?:\s[^>]*)?/>|<{ROW_TAG}(?:\s[^>]*)?>.*?</{ROW_TAG}>"
 
+# Equal rows that one task writes out again.
+COPIES = 10_000
+
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 
 
@@ -71,28 +74,34 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def with_unique_ids(decisions: DataFrame) -> DataFrame:
-    """``decisions`` with ids that occur once.
+def repeated_ids(decisions: DataFrame) -> DataFrame:
+    """``(doc_id, n)`` of ids under which there are several rows."""
+    many = decisions.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return stash(many, "repeated-ids")
+
+
+def with_unique_ids(decisions: DataFrame, many: DataFrame | None = None) -> DataFrame:
+    """``decisions`` with ids that occur once; ``many`` are their repeated ids, where these are known.
 
-    Of rows under one natural id the first in the order of their content keeps it; the others
-    get an id hashed from it and their place. The place is counted by content first, so only
-    rows equal in all columns are numbered together.
+    Of rows under one natural id the first in the order of their hashed content keeps it; the others
+    get an id hashed from it, their content and their place among equal rows. Equal rows are counted and written out
+    again, ``COPIES`` to a stretch, so no task holds all rows of an id or all copies of a row.
     """
-    many = decisions.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not many.limit(1).count():
+    many = repeated_ids(decisions) if many is None else many
+    if not row_count(many):
         return decisions
-    many = broadcast_if_small(stash(many, "repeated-ids"))
-    single = decisions.join(many, "doc_id", "left_anti")
-    repeated = decisions.join(many, "doc_id", "left_semi")
+    ids = broadcast_if_small(many.select("doc_id"))
+    single = decisions.join(ids, "doc_id", "left_anti")
     content = [c for c in decisions.columns if c != "doc_id"]
     code = F.xxhash64(*[x for c in content for x in (F.col(c).isNull(), F.col(c))])
-    repeated = repeated.withColumn("content", code)
-    kinds = repeated.groupBy("doc_id", "content").count()
-    kind = F.row_number().over(Window.partitionBy("doc_id").orderBy("content"))
-    kinds = kinds.select("doc_id", "content", kind.alias("kind"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("content"))
-    placed = repeated.withColumn("copy", copy).join(kinds, ["doc_id", "content"])
-    first = (F.col("kind") == 1) & (F.col("copy") == 1)
+    kinds = decisions.join(ids, "doc_id", "left_semi").groupBy("doc_id", *content).agg(F.count("*").alias("n"))
+    kinds = stash(kinds.withColumn("content", code), "repeated-rows")
+    least = stash(kinds.groupBy("doc_id").agg(F.min("content").alias("least")), "first-rows")
+    stretch = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int")))
+    stretches = kinds.withColumn("stretch", stretch).repartition("doc_id", "content", "stretch")
+    copy = F.explode(F.sequence(F.col("stretch") * COPIES + 1, F.least(F.col("n"), (F.col("stretch") + 1) * COPIES)))
+    placed = stretches.withColumn("copy", copy).join(broadcast_if_small(least), "doc_id")
+    first = (F.col("content") == F.col("least")) & (F.col("copy") == 1)
     fresh = F.when(first, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "content", "copy"))
     return single.unionByName(placed.withColumn("doc_id", fresh).select(*decisions.columns))
 
@@ -102,14 +111,21 @@ def final_decisions(records: DataFrame) -> DataFrame:
     return records.where(F.col("_tipoprov") == FINAL_DECISION)
 
 
+def ruling_of() -> Column:
+    return F.coalesce("dispositivo", "dis")
+
+
+def has_ruling() -> Column:
+    return F.nullif(F.trim(ruling_of()), F.lit("")).isNotNull()
+
+
 def flatten_decisions(records: DataFrame, file_name: Column, latin1: bool = False) -> DataFrame:
     """Decision columns (without ``id_materia``) of parsed records, one row per record.
 
     A record without a ruling keeps its row and ``doc_id`` but every other column is null.
     ``doc_id`` hashes the raw year, number, section and file name without its folder.
     """
-    ruling = F.coalesce("dispositivo", "dis")
-    has_ruling = F.nullif(F.trim(ruling), F.lit("")).isNotNull()
+    ruling, ruled = ruling_of(), has_ruling()
     body = F.coalesce("testo", "tes")
     if latin1:
         body, ruling = latin1_or_null(body), latin1_or_null(ruling)
@@ -135,7 +151,7 @@ def flatten_decisions(records: DataFrame, file_name: Column, latin1: bool = Fals
     columns = [F.xxhash64("_anno", "_numdec", "_nsz", base_name(file_name)).alias("doc_id")]
     for name, value in values.items():
         typed = value.try_cast(DECISIONS[name].dataType)
-        columns.append(F.when(has_ruling, typed).alias(name))
+        columns.append(F.when(ruled, typed).alias(name))
     return records.select(*columns)
 
 
@@ -227,7 +243,11 @@ def split_records(reader: DataFrameReader | DataStreamReader, path: str | list[s
 
 
 def scan_decisions(
-    spark: SparkSession, path: str, latin1: bool = False, split_files: bool = True
+    spark: SparkSession,
+    path: str,
+    latin1: bool = False,
+    split_files: bool = True,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Decision columns of the XML files under ``path``.
 
@@ -236,6 +256,7 @@ def scan_decisions(
     sections or a declared single-byte encoding are lexed by splits (``sources/lexer.py``). Only files with a
     document type, records within records or another encoding are read by the XML source, one task
     each. Without it all files are read that way. The rows are the same.
+    ``seen`` observes the records as they pass by (see ``ReadReport``).
     """
     if split_files:
         kinds = file_kinds(spark, path)
@@ -251,16 +272,57 @@ def scan_decisions(
         records = reduce(DataFrame.unionByName, found)
     else:
         records = _records_by_file(spark, path)
+    if seen is not None:
+        records = records.observe(seen, *facts_of_records())
     return flatten_decisions(final_decisions(records), F.col("file"), latin1)
 
 
-def read_decisions(
+@dataclass(frozen=True)
+class ReadReport:
+    """What a reading found, dropped and left empty.
+
+    All but ``repeated_ids`` is observed in the one pass that parses the records and writes them down.
+    """
+
+    records: int
+    other_types: int
+    untyped: int
+    without_ruling: int
+    unlabelled: int
+    repeated_ids: int
+
+
+def facts_of_records() -> list[Column]:
+    """Counts over raw records: those of a ``ReadReport`` that one pass can tell."""
+    final = F.col("_tipoprov") == FINAL_DECISION
+    return [
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(~final).alias("other_types"),
+        F.count_if(F.col("_tipoprov").isNull()).alias("untyped"),
+        F.count_if(final & ~has_ruling()).alias("without_ruling"),
+        F.count_if(final & (~has_ruling() | F.col("sic._materia").isNull())).alias("unlabelled"),
+    ]
+
+
+def read_reported(
     spark: SparkSession, path: str, latin1: bool = False, split_files: bool = True
-) -> DataFrame:
-    """The full decision table of the XML files under ``path``.
+) -> tuple[DataFrame, ReadReport]:
+    """The full decision table of the XML files under ``path``, and a report of the reading.
 
     The files are parsed once, into the shared folder; numbering the subjects reads one
-    column of that table.
+    column of that table, and so does counting repeated ids. ``unlabelled`` are final decisions without a subject,
+    which no later step can classify; ``repeated_ids`` are rows that got an id of their own.
     """
-    scanned = stash(scan_decisions(spark, path, latin1, split_files), "decisions")
-    return with_subject_index(with_unique_ids(scanned))
+    seen = Observation()
+    scanned = stash(scan_decisions(spark, path, latin1, split_files, seen), "decisions")
+    many = repeated_ids(scanned)
+    again = many.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    report = ReadReport(**seen.get, repeated_ids=again)
+    return with_subject_index(with_unique_ids(scanned, many)), report
+
+
+def read_decisions(
+    spark: SparkSession, path: str, latin1: bool = False, split_files: bool = True
+) -> DataFrame:
+    """The full decision table of the XML files under ``path``; see ``read_reported``."""
+    return read_reported(spark, path, latin1, split_files)[0]
