@@ -164,6 +164,10 @@ def oracle() -> dict[str, str]:
             (SELECT count(*) FROM score) AS n_terms FROM band""",
         "tfidf_reduced": base + SCORE_CTES + f" SELECT ent.doc_id, ent.term, ent.tf FROM ent {band}",
         "saved_reduction": base + SCORE_CTES + f" SELECT ent.doc_id, ent.term, ent.tf FROM ent {band}",
+        "saved_sweep": base
+        + """ SELECT k, outcome, k = 2 AS best,
+                CASE WHEN k = 2 THEN (SELECT count(DISTINCT doc_id) FROM ent) END AS n_docs
+            FROM (VALUES (2, 'done'), (3, 'failed'), (4, 'overran')) run(k, outcome)""",
         "saved_predictions": """WITH rk AS (SELECT lang, row_number() OVER (PARTITION BY lang
                 ORDER BY md5('123:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
             SELECT lang AS label, count(*) AS n, count(*) AS n_same FROM rk WHERE r > ceil(0.75 * n) GROUP BY lang""",

@@ -26,7 +26,7 @@ from topicloom.plans.sweep import sweep_topics
 from topicloom.sources.corpus import METADATA, decisions_to_corpus
 from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, read_reported, scan_decisions
 from topicloom.sources.exports import export_corpus
-from topicloom.sources.saved import load_reduction
+from topicloom.sources.saved import load_reduction, load_sweep
 from topicloom.stash import broadcast_if_small, new_path, stash
 
 STOPWORD_LANGUAGES = ("english", "german", "french", "spanish", "italian")
@@ -548,6 +548,30 @@ def lda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.runs.drop("fit_seconds")
 
 
+def saved_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per k of a sweep that was saved and loaded: how its run ended, whether it won, documents with topic shares.
+
+    One k fails at once, another counts the matrix again and again until its deadline.
+    """
+
+    def fit(data, k, method, options):
+        if k == 3:
+            raise ArithmeticError("no fit of this k")
+        while k == 4:
+            data.cells.agg(F.sum(F.size("cells"))).collect()
+        return fit_lda(data, k, method, options=options)
+
+    path = new_path(spark, "sweep")
+    sweep_topics(
+        base(spark, sf_dir), lang_labels(spark, sf_dir), (2, 3, 4), options=COMPOSITION_PATH, out_dir=path, fit=fit, deadlines={4: 2.0}
+    )
+    saved = load_sweep(spark, f"{path}/VEM/base")
+    outcome = F.when(F.col("error").isNull(), "done").when(F.col("error").startswith("TimeoutError"), "overran").otherwise("failed")
+    runs = saved.tables["runs"].select("k", outcome.alias("outcome"), (F.col("k") == saved.best_k).alias("best"))
+    docs = saved.posteriors().agg(F.count("*").alias("n_docs"))
+    return runs.join(docs.withColumn("k", F.lit(saved.best_k)), "k", "left")
+
+
 def embedding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     return split.stratified_split(labels, 123)
@@ -673,4 +697,5 @@ QUERIES: dict[str, Query] = {
     "exported_terms": exported_terms,
     "saved_reduction": saved_reduction,
     "saved_predictions": saved_predictions,
+    "saved_sweep": saved_sweep,
 }

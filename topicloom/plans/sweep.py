@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from topicloom.operators.lasso import PathOptions, in_threads
 from topicloom.operators.lda import METHODS, LdaOptions, TopicInput, TopicModel, fit_together, prepare, shared_scans
 from topicloom.operators.split import DEFAULT_SEED, stratified_split
 from topicloom.operators.topics import top_terms, top_topic
+from topicloom.plans.deadline import within
 from topicloom.schema import require_columns
 from topicloom.sources import exports
 from topicloom.stash import stash
@@ -70,6 +71,7 @@ def sweep_topics(
     parallelism: int = 4,
     out_dir: str | None = None,
     fit: Callable[..., TopicModel] | None = None,
+    deadlines: Mapping[int, float] | None = None,
 ) -> Sweep:
     """Fit every ``k``, classify its compositions, and pick the ``k`` of lowest test error.
 
@@ -77,6 +79,10 @@ def sweep_topics(
     passes over the documents as far as their topic rows can be sent out together; whatever remains is
     submitted from a few driver threads. A run that fails is recorded and skipped: where a shared
     pass fails, each of its ``k`` is fitted alone. ``fit``, if given, fits one ``k`` at a time instead.
+
+    ``deadlines`` holds seconds for some or all ``k``: for the fit, and again for the classification. Whichever of the two
+    takes longer is cancelled, its Spark jobs with it, and recorded as failed with the reason. A ``k`` with a deadline is
+    fitted alone, since a shared pass cannot be cancelled for one of its ``k`` only.
     """
     if not isinstance(dtm, Dtm):
         raise ValueError("dtm must be a Dtm")
@@ -90,22 +96,30 @@ def sweep_topics(
     split = stash(stratified_split(labelled, DEFAULT_SEED), "split")
     spark = split.sparkSession
 
+    limits = dict(deadlines or {})
+    ks = list(dict.fromkeys(ks))
+
+    def fits_of(group: list[int], start: float) -> dict[int, tuple[TopicModel, float, None]]:
+        models = {k: fit(data, k, method, options=lda) for k in group} if fit else fit_together(data, group, method, options=lda)
+        done = {}
+        for k, model in models.items():
+            begin = time.time() if model.record else start
+            posteriors = stash(model.posteriors, "posteriors")
+            seconds = time.time() - begin + (model.record.seconds if model.record else 0.0)
+            done[k] = replace(model, posteriors=posteriors), seconds, None
+        return done
+
     def fitted(group: list[int]) -> dict[int, tuple[TopicModel | None, float, str | None]]:
-        start, done = time.time(), {}
+        start = time.time()
         try:
-            models = {k: fit(data, k, method, options=lda) for k in group} if fit else fit_together(data, group, method, options=lda)
-            for k, model in models.items():
-                begin = time.time() if model.record else start
-                posteriors = stash(model.posteriors, "posteriors")
-                seconds = time.time() - begin + (model.record.seconds if model.record else 0.0)
-                done[k] = replace(model, posteriors=posteriors), seconds, None
+            return within(spark, limits.get(group[0]), lambda: fits_of(group, start))
         except Exception as failure:  # a failing k must not stop the others
             if len(group) > 1:
-                return {k: outcome for k in group for outcome in [done.get(k) or fitted([k])[k]]}
+                return {k: outcome for k in group for outcome in fitted([k]).values()}
             return {group[0]: (None, time.time() - start, f"{type(failure).__name__}: {failure}")}
-        return done
 
-    groups = [[k] for k in dict.fromkeys(ks)] if fit else shared_scans(ks, data.size, method)
+    alone = [k for k in ks if fit or k in limits]
+    groups = [[k] for k in alone] + shared_scans([k for k in ks if k not in alone], data.size, method)
     fits = {}
     for found in in_threads(spark, [lambda group=group: fitted(group) for group in groups], parallelism):
         fits |= found
@@ -115,7 +129,7 @@ def sweep_topics(
         if model is None:
             return k, None, None, seconds, failure
         try:
-            found = classify_compositions(model.posteriors, split, repeated_cv, options)
+            found = within(spark, limits.get(k), lambda: classify_compositions(model.posteriors, split, repeated_cv, options))
         except Exception as failure:
             return k, None, None, seconds, f"{type(failure).__name__}: {failure}"
         return k, model, found, seconds, None
