@@ -215,6 +215,19 @@ def test_corpus_export(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
 
 
+def test_corpus_export_writes_nothing_but_texts(spark, tmp_path):
+    """One file a document and none beside it; odd ids come back, and equal ids keep a file each."""
+    rows = [("a/b=c %", "uno"), ("x", "due"), ("x", "tre\n"), (None, "quattro"), ("y[1]", None)]
+    out = tmp_path / "text"
+    export_corpus(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1), str(out))
+    files = [f for f in out.rglob("*") if f.is_file() and f.parent != out]
+    assert len(files) == len(rows) and {f.suffix for f in files} == {".txt"}
+    back = spark.read.schema("value string, doc_id string").text(str(out), wholetext=True)
+    assert {(r.doc_id, r.value) for r in back.collect()} == {(key, f"{text or ''}\n") for key, text in rows}
+    with pytest.raises(FileExistsError):
+        export_corpus(spark.createDataFrame(rows, "doc_id string, text string"), str(out))
+
+
 def test_reduction_export(spark, tmp_path):
     words = "alfa beta gamma delta kappa lambda sigma omega".split()
     rows = [(i, " ".join(words[: 1 + i % len(words)] * (1 + i % 3))) for i in range(40)]

@@ -597,8 +597,10 @@ def exported_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
     export_corpus(corpus(spark, sf_dir), path)
-    texts = spark.read.schema("value string, doc_id long").text(path, wholetext=True)
-    return texts.select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
+    # Ids come from the names of the folders as rows are read; found as partitions, all pass through the driver.
+    texts = spark.read.schema("value string").option("recursiveFileLookup", True).text(path, wholetext=True)
+    doc_id = F.regexp_extract("_metadata.file_path", "/doc_id=([^/]*)/[^/]*$", 1).try_cast("long")
+    return texts.select(doc_id.alias("doc_id"), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
 def exported_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,22 @@ written; ``sources/saved.py`` reads complete ones back.
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 MANIFEST = "manifest"
 
+# What Spark writes in the name of a partition's folder: nulls and empty texts, and characters that are escaped.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
 
 def publish(spark: SparkSession, out_dir: str, what: str, kind: str, tables: list[str], facts: dict) -> None:
     """Write the manifest: what the folder holds, its parquet tables, and facts as texts."""
@@ -24,13 +34,57 @@ def export_corpus(corpus: DataFrame, out_dir: str, as_text: bool = True) -> None
     """Write one text file per document, or with ``as_text`` off the whole table as parquet.
 
     As text, each document lands in its own ``doc_id=...`` folder, closed by a line end. That
-    suits people and small corpora; parquet suits large ones. The caller chooses.
+    suits people and small corpora; parquet suits large ones. The caller chooses. On a file system that is
+    mounted as ``file:``, tasks write the files themselves: there Spark's writer starts processes for every file
+    to set its mode, and its driver then moves the folders one by one.
     """
-    if as_text:
-        texts = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        texts.write.partitionBy("doc_id").text(out_dir)
-    else:
+    if not as_text:
         corpus.write.parquet(out_dir)
+        return
+    texts = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spark = corpus.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        texts.write.partitionBy("doc_id").text(out_dir)
+        return
+    if files.exists(where):
+        raise FileExistsError(f"{out_dir} exists already")
+    files.mkdirs(where)
+    ordered = texts.select(F.col("doc_id").cast("string"), F.col("text").cast("binary")).sortWithinPartitions("doc_id")
+    ordered.mapInArrow(file_writer(files.makeQualified(where).toUri().getPath()), "n long").agg(F.sum("n")).collect()
+    files.create(files.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(out_dir, "_SUCCESS"))).close()
+
+
+def folder_name(doc_id: str | None) -> str:
+    """``doc_id=...`` as Spark names the folder of a partition."""
+    value = ESCAPED.sub(lambda found: f"%{ord(found[0]):02X}", doc_id) if doc_id else NO_VALUE
+    return f"doc_id={value}"
+
+
+def file_writer(folder: str):
+    """A function that writes batches of ``(doc_id, text)``, sorted by id, below the mounted ``folder``.
+
+    A file has the name of its task's partition and appears whole or not at all, so a task that is tried again
+    replaces its own files. Texts of one id are files of one folder.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        before, nth = None, 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                name = folder_name(doc_id)
+                nth = nth + 1 if name == before else 0
+                before, own = name, f"{folder}/{name}"
+                draft = f"{own}/.part-{task.partitionId():05d}-{nth}-{task.taskAttemptId()}"
+                os.makedirs(own, exist_ok=True)
+                with open(draft, "wb") as file:
+                    file.write(text.as_py() + b"\n")
+                os.replace(draft, f"{own}/part-{task.partitionId():05d}-{nth}.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return run
 
 
 def export_terms(terms: DataFrame, out_dir: str) -> None:
