@@ -90,7 +90,7 @@ def sweep_topics(
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     require_columns(classes, "doc_id", "label", what="classes")
     data: TopicInput = prepare(dtm)
-    labelled = data.cells.select("doc_id").join(
+    labelled = data.ids.join(
         classes.select("doc_id", F.col("label").cast("string").alias("label")), "doc_id"
     )
     split = stash(stratified_split(labelled, DEFAULT_SEED), "split")
