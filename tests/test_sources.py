@@ -265,3 +265,16 @@ def test_streamed_decisions_equal_the_batch(spark, xml_path, tmp_path):
     batch = scan_decisions(spark, folder)
     key = ["doc_id"]
     assert streamed.orderBy(key).collect() == batch.orderBy(key).collect()
+
+
+def test_texts_are_read_without_a_list_of_files_on_the_driver(spark, tmp_path):
+    from topicloom.sources.exports import export_corpus, read_texts
+
+    rows = [(1, "a\nb\n"), (2, ""), (3, None), (None, "none"), (-4, "\u00e9 \u4e2d")]
+    path = str(tmp_path / "corpus")
+    export_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    (tmp_path / "corpus" / "doc_id=1" / ".part-draft").write_bytes(b"half")
+    found = read_texts(spark, path)
+    assert found.inputFiles() == []
+    got = {(r.doc_id, r.text) for r in found.collect()}
+    assert got == {("1", "a\nb\n"), ("2", ""), ("3", ""), ("__HIVE_DEFAULT_PARTITION__", "none"), ("-4", "\u00e9 \u4e2d")}

@@ -24,7 +24,7 @@ from topicloom.plans.reduce import reduce_dtm
 from topicloom.plans.sweep import sweep_topics
 from topicloom.sources.corpus import METADATA, decisions_to_corpus
 from topicloom.sources.decisions import ROW_TAG, parse_decisions, read_decisions, read_reported, scan_decisions
-from topicloom.sources.exports import export_corpus
+from topicloom.sources.exports import export_corpus, read_texts
 from topicloom.sources.saved import load_reduction, load_sweep
 from topicloom.stash import broadcast_if_small, new_path, stash
 
@@ -597,10 +597,7 @@ def exported_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
     export_corpus(corpus(spark, sf_dir), path)
-    # Ids come from the names of the folders as rows are read; found as partitions, all pass through the driver.
-    texts = spark.read.schema("value string").option("recursiveFileLookup", True).text(path, wholetext=True)
-    doc_id = F.regexp_extract("_metadata.file_path", "/doc_id=([^/]*)/[^/]*$", 1).try_cast("long")
-    return texts.select(doc_id.alias("doc_id"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+    return read_texts(spark, path).withColumn("doc_id", F.col("doc_id").try_cast("long"))
 
 
 def exported_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

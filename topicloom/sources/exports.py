@@ -6,18 +6,22 @@ written; ``sources/saved.py`` reads complete ones back.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 MANIFEST = "manifest"
 
+# Reading tasks per core, and folder names and bytes of texts that a task sends on at a time.
+READERS, NAMES, READ_BYTES = 4, 10_000, 16 << 20
+
 # What Spark writes in the name of a partition's folder: nulls and empty texts, and characters that are escaped.
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
@@ -56,6 +60,69 @@ def export_corpus(corpus: DataFrame, out_dir: str, as_text: bool = True) -> None
     files.create(files.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(out_dir, "_SUCCESS"))).close()
 
 
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, text)`` from the files of a text export, ids as written in the names of their folders.
+
+    On a file system mounted as ``file:``, a task lists the folders and sends their names on, and tasks read the files:
+    Spark's reader holds the status of every file on the driver. It is used under other schemes.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        texts = spark.read.schema("value string").option("recursiveFileLookup", True).text(folder, wholetext=True)
+        doc_id = F.regexp_extract("_metadata.file_path", "/doc_id=([^/]*)/[^/]*$", 1)
+        return texts.select(doc_id.alias("doc_id"), closed("value").alias("text"))
+    if not files.exists(where):
+        raise FileNotFoundError(folder)
+    path = files.makeQualified(where).toUri().getPath()
+    names = spark.range(1, numPartitions=1).mapInArrow(folder_lister(path), "name string")
+    spread = names.repartition(READERS * spark.sparkContext.defaultParallelism)
+    texts = spread.mapInArrow(file_reader(path), "doc_id string, value binary")
+    return texts.select("doc_id", closed(F.col("value").cast("string")).alias("text"))
+
+
+def closed(text: Column | str) -> Column:
+    """A file's text without the line end that closes it."""
+    return F.regexp_replace(text, r"\n\z", "")
+
+
+def folder_lister(path: str):
+    """A function that sends the names of the folders below the mounted ``path`` as it comes upon them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                with os.scandir(path) as entries:
+                    names = (entry.name for entry in entries if entry.name.startswith("doc_id="))
+                    while part := list(itertools.islice(names, NAMES)):
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["name"])
+
+    return run
+
+
+def file_reader(path: str):
+    """A function that reads the files of batches of folder names below the mounted ``path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for file in sorted(os.listdir(f"{path}/{name}")):
+                    if file[0] in "._":
+                        continue
+                    with open(f"{path}/{name}/{file}", "rb") as text:
+                        texts.append(text.read())
+                    ids.append(name.removeprefix("doc_id="))
+                    size += len(texts[-1])
+                    if size > READ_BYTES or len(ids) >= NAMES:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], ["doc_id", "value"])
+                        ids, texts, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], ["doc_id", "value"])
+
+    return run
+
+
 def folder_name(doc_id: str | None) -> str:
     """``doc_id=...`` as Spark names the folder of a partition."""
     value = ESCAPED.sub(lambda found: f"%{ord(found[0]):02X}", doc_id) if doc_id else NO_VALUE
